@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foldscape.llm import exact_dedup
+from foldscape.llm import exact_dedup, quality
 
-QUERIES = {"op9_block_naming": exact_dedup.op9_block_naming}
+QUERIES = {"op4_llr_quality": quality.op4_llr_quality, "op9_block_naming": exact_dedup.op9_block_naming}
 
 SQL = {"op9_block_naming": exact_dedup.SQL}
