@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from foldscape.llm import exact_dedup, quality
+from foldscape.llm import exact_dedup, packing, quality
 
-QUERIES = {"op4_llr_quality": quality.op4_llr_quality, "op9_block_naming": exact_dedup.op9_block_naming}
+QUERIES = {
+    "op2_best_fit": packing.op2_best_fit,
+    "op4_llr_quality": quality.op4_llr_quality,
+    "op9_block_naming": exact_dedup.op9_block_naming,
+}
 
 SQL = {"op9_block_naming": exact_dedup.SQL}
