@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from foldscape.llm import exact_dedup, packing, quality
+from foldscape.llm import bpe, exact_dedup, packing, quality
 
 QUERIES = {
     "op2_best_fit": packing.op2_best_fit,
     "op4_llr_quality": quality.op4_llr_quality,
+    "op6_recursive_bpe": bpe.op6_recursive_bpe,
     "op9_block_naming": exact_dedup.op9_block_naming,
 }
 
