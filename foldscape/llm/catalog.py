@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from foldscape.llm import bpe, exact_dedup, line_dedup, packing, quality
+from foldscape.llm import bpe, exact_dedup, jaccard_join, line_dedup, packing, quality
 
 QUERIES = {
     "op2_best_fit": packing.op2_best_fit,
     "op3_line_index": line_dedup.op3_line_index,
     "op4_llr_quality": quality.op4_llr_quality,
+    "op5_voronoi_join": jaccard_join.op5_voronoi_join,
     "op6_recursive_bpe": bpe.op6_recursive_bpe,
     "op9_block_naming": exact_dedup.op9_block_naming,
 }
 
 SQL = {
     "op3_line_index": line_dedup.SQL,
+    "op5_voronoi_join": jaccard_join.SQL,
     "op9_block_naming": exact_dedup.SQL,
 }
