@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldscape.llm import bpe, exact_dedup, jaccard_join, line_dedup, packing, quality
+from foldscape.llm import bpe, exact_dedup, jaccard_join, line_dedup, packing, quality, suffix_dedup
 
 QUERIES = {
     "op2_best_fit": packing.op2_best_fit,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_voronoi_join": jaccard_join.op5_voronoi_join,
     "op6_recursive_bpe": bpe.op6_recursive_bpe,
     "op9_block_naming": exact_dedup.op9_block_naming,
+    "op10_suffix_levels": suffix_dedup.op10_suffix_levels,
 }
 
 SQL = {
