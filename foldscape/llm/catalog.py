@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldscape.llm import bpe, exact_dedup, jaccard_join, line_dedup, packing, quality, suffix_dedup
+from foldscape.llm import bpe, exact_dedup, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_best_fit": packing.op2_best_fit,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_llr_quality": quality.op4_llr_quality,
     "op5_voronoi_join": jaccard_join.op5_voronoi_join,
     "op6_recursive_bpe": bpe.op6_recursive_bpe,
+    "op7_folded_lexicon": toxicity.op7_folded_lexicon,
     "op9_block_naming": exact_dedup.op9_block_naming,
     "op10_suffix_levels": suffix_dedup.op10_suffix_levels,
 }
