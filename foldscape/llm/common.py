@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,9 @@ def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    # shuffle files of steps before this one go when the driver's JVM collects what stands for them
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

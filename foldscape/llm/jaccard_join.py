@@ -312,29 +312,26 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         members.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("pivot"), F.max("doc_id").alias("last"))
         .where("pivot.doc_id < last").select("token", F.col("pivot.doc_id").alias("a"), F.col("pivot.n").alias("na"))
     )
-    pairs = (
-        members.join(pivots, "token").where(f"doc_id <> a and {DENOMINATOR} * least(n, na) >= {NUMERATOR} * greatest(n, na)")
-        .select("a", F.col("doc_id").alias("b")).distinct()
-    )
+    # regions of the same pivot are one: whoever shares a rare shingle with it that nobody smaller has
+    regions = written(members.join(pivots, "token").select("a", "na", "doc_id", "n").distinct())
+    pairs = regions.where(f"doc_id <> a and {DENOMINATOR} * least(n, na) >= {NUMERATOR} * greatest(n, na)").select("a", F.col("doc_id").alias("b"))
     left = found.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     right = found.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
     stars = written(both.where(f"{DENOMINATOR} * both >= {NUMERATOR} * (na + nb - both)").select("a", "b"))
     settled = components(stars)
-    rest = written(members.join(settled.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    open_regions = (
-        rest.groupBy("token").agg(F.count("*").alias("docs"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high").groupBy("docs", "who").agg(F.min("token").alias("token"))  # regions of the same documents are one
-        .select("token", F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("blocks"))
+    rest = written(regions.join(settled.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    still_open = (
+        rest.groupBy("a").agg(F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high").select("a", F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("blocks"))
     )
-    block = F.pmod(F.xxhash64("doc_id", "token"), F.col("blocks")).cast("int")
     dealt = (
-        rest.join(open_regions, "token").withColumn("block", block)
+        rest.join(still_open, "a").withColumn("block", F.pmod(F.xxhash64("doc_id", "a"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .join(found.select("doc_id", "n", "shared"), "doc_id")
-        .select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "component", "shared")
+        .select("a", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "component", "shared")
     )
-    more = dealt.groupBy("token", "i", "j").applyInArrow(_region_links, "a long, b long")
+    more = dealt.groupBy("a", "i", "j").applyInArrow(_region_links, "a long, b long")
     return sizes, classes, stars.unionByName(written(more.distinct()))
 
 
