@@ -149,6 +149,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose text no smaller doc_id has, with all their columns; rows without a doc_id go."""
+    stays = exact_dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(stays.hint("shuffle_hash"), "doc_id", "left_semi")
+
+
 def op9_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

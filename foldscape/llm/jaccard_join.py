@@ -342,6 +342,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return sizes.join(named, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The smallest doc_id of each component, with all columns of `docs`; rows without a doc_id go."""
+    stays = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stays.hint("shuffle_hash"), "doc_id", "left_semi")
+
+
 def op5_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -361,9 +362,8 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_CLEANED, t["doc_id"].combine_chunks(), np.diff(offsets), np.diff(n_gone), np.diff(n_open), [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of every row of `docs` that has a doc_id."""
-    texts = texts_of(docs)
+def repeats(texts: DataFrame) -> DataFrame:
+    """doc_id and late: the windows of each document that occurred before, as packed spans. `texts` as from texts_of."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, size // SHARD_BYTES)
     posted = texts.mapInArrow(_posted(shards), _DEALT_DDL)
@@ -374,12 +374,44 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         asked.mapInArrow(_asked(shards), _TEXTS_DDL).groupBy("shard").applyInArrow(_bounded(shards), _DEALT_DDL)
         .groupBy("key").applyInArrow(_by_doc, _BY_DOC_DDL)
     )
-    late = (
+    return (
         verdicts.select("doc_id", "late").unionByName(found.select("doc_id", "late"))
         .groupBy("doc_id").agg(F.array_join(F.transform(F.collect_list("late"), F.hex), "").alias("late"))
         .select("doc_id", F.unhex("late").alias("late"))
     )
-    return texts.join(late.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cleaned, _CLEANED_DDL)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of every row of `docs` that has a doc_id."""
+    texts = texts_of(docs)
+    return texts.join(repeats(texts).hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cleaned, _CLEANED_DDL)
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """`docs`, all columns, with what is left of each text and its n_chars.
+
+    A cut may fall inside a character; the bytes that are left of it go too. Texts
+    that lose nothing, nulls among them, and rows without a doc_id stay as they are.
+    """
+    late = repeats(texts_of(docs)).withColumnRenamed("late", "foldscape_late").where("length(foldscape_late) > 0")
+    joined = docs.join(late.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "foldscape_late")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches):
+            texts, ids = pc.fill_null(t["text"], ""), pc.fill_null(t["doc_id"], 0).cast(pa.int64())
+            once = pa.table({"doc_id": ids, "text": texts, "late": t["foldscape_late"]})
+            kept = next(_cleaned(iter(once.combine_chunks().to_batches())))["kept"].to_pylist()
+            lost = pc.is_valid(t["foldscape_late"]).to_pylist()
+            left = [k.decode("utf-8", "ignore") if x else o for k, x, o in zip(kept, lost, t["text"].to_pylist(), strict=True)]
+            out = t.select(names).set_column(names.index("text"), "text", pa.array(left, pa.string()))
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                n = [len(a) if x else o for a, x, o in zip(left, lost, t["n_chars"].to_pylist(), strict=True)]
+                out = out.set_column(at, "n_chars", pa.array(n, t.schema.field("n_chars").type))
+            yield from out.to_batches()
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
