@@ -88,8 +88,8 @@ def _second(k: int):
 def block_forecasts(df: DataFrame, base: list[str], names: list[str], target: str, lib, pred, tp: int, radius: int, tail: str = "keep") -> DataFrame:
     """variable, p, obs and pred of the projection on [variable, *base] for every variable."""
     k = len(base) + 2
-    lib_rows = _blocks(library(df, target, lib, tp, tail), "y", base, names, "lib")
-    pred_rows = _blocks(predicted(df, pred).join(lead(df, target, tp, "o"), ROW, "left"), "o", base, names, "pred")
+    lib_rows = _blocks(library(df, target, lib, tp, tail), "_y", base, names, "lib")
+    pred_rows = _blocks(predicted(df, pred).join(lead(df, target, tp, "_o"), ROW, "left"), "_o", base, names, "pred")
     lib_blocks = lib_rows.select(F.col("block").alias("lblock")).distinct()
     pred_blocks = pred_rows.select(F.col("block").alias("pblock")).distinct()
     tasks = pred_blocks.crossJoin(lib_blocks)  # block numbers only: one row a task

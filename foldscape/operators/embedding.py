@@ -15,7 +15,7 @@ def embed_dimension(df: DataFrame, column: str, target: str, lib, pred, max_e: i
     """e and rho for e = 1 … max_e, in one job: distances for all e are running sums over lags."""
     embedded = lags(df, [column], max_e, tau)
     arrays = embedded.select(ROW, F.array(*[F.col(f"`{column}(t-{k})`") for k in range(max_e)]).alias("x"))
-    inner = library(df, target, lib, tp, tail).select(ROW, "y").join(arrays, ROW).select(F.col(ROW).alias("l"), "y", F.col("x").alias("xl"))
+    inner = library(df, target, lib, tp, tail).select(ROW, "_y").join(arrays, ROW).select(F.col(ROW).alias("l"), F.col("_y").alias("y"), F.col("x").alias("xl"))
     outer = predicted(df, pred).select(ROW).join(arrays, ROW).select(F.col(ROW).alias("p"), F.col("x").alias("xp"))
     pairs = outer.join(inner, eligible(F.col("p"), F.col("l"), radius))
     steps = F.zip_with("xp", "xl", lambda a, b: (a - b) * (a - b))

@@ -101,7 +101,7 @@ def neighbor_table(lib: DataFrame, pred: DataFrame, features: list[str], k: int,
     """p, l and d2 of the k nearest library rows of every row, in the space of the features; optionally each row itself too."""
     from foldscape.operators.neighbors import nearest
 
-    found = nearest(pair_table(lib.withColumn("y", F.lit(0.0)), pred, features, [], 0), [], k).select("p", "l", "d2")
+    found = nearest(pair_table(lib.withColumn("_y", F.lit(0.0)), pred, features, [], 0), [], k).select("p", "l", "d2")
     if itself:
         same = pred.select(F.col(ROW).alias("p")).join(lib.select(F.col(ROW).alias("l")), F.col("p") == F.col("l")).select("p", "l", F.lit(0.0).alias("d2"))
         found = found.unionByName(same)

@@ -13,11 +13,11 @@ RELATIONAL_PAIRS = 20_000_000
 
 
 def library(df: DataFrame, target: str, spans, tp: int, tail: str = "keep") -> DataFrame:
-    """Rows that may be neighbours: in the ranges, with a known target tp rows later (`y`).
+    """Rows that may be neighbours: in the ranges, with a known target tp rows later (`_y`).
 
     tail="trim" also asks that the later row is in the ranges.
     """
-    out = df.join(lead(df, target, tp, "y"), ROW).where(ranges(F.col(ROW), spans) & F.col("y").isNotNull())
+    out = df.join(lead(df, target, tp, "_y"), ROW).where(ranges(F.col(ROW), spans) & F.col("_y").isNotNull())
     return out.where(ranges(F.col(ROW) + tp, spans)) if tail == "trim" else out
 
 
@@ -41,7 +41,7 @@ def pair_table(lib: DataFrame, pred: DataFrame, columns: list[str], extra: list[
     A nested loop: callers keep it to RELATIONAL_PAIRS, which bounds its inner side.
     """
     array = lambda names: F.array(*[F.col(f"`{c}`") for c in names]) if names else F.array().cast("array<double>")
-    inner = lib.select(F.col(ROW).alias("l"), "y", array(columns).alias("bl"), array(extra).alias("xl"))
+    inner = lib.select(F.col(ROW).alias("l"), F.col("_y").alias("y"), array(columns).alias("bl"), array(extra).alias("xl"))
     outer = pred.select(F.col(ROW).alias("p"), array(columns).alias("bp"), array(extra).alias("xp"))
     return outer.join(inner, eligible(F.col("p"), F.col("l"), radius)).select("p", "l", "y", squares("bp", "bl").alias("d2"), "xp", "xl")
 

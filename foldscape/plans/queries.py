@@ -81,7 +81,7 @@ def lib_pred_split(spark, sf_dir):
 
 def library_rows(spark, sf_dir):
     df, lib, _ = _smooth(spark, sf_dir)
-    keep = neighbors.library(df, TARGET, lib, 2).select("row_id", "y")
+    keep = neighbors.library(df, TARGET, lib, 2).select("row_id", F.col("_y").alias("y"))
     trim = neighbors.library(df, TARGET, lib, 2, "trim").select("row_id", F.lit(True).alias("trimmed"))
     return keep.join(trim, "row_id", "left").select("row_id", "y", F.coalesce("trimmed", F.lit(False)).alias("trimmed"))
 
