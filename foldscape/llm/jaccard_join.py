@@ -204,6 +204,8 @@ def _candidates(key, replies, sizes):
     ids, tokens, n = ids[order], tokens[order], n[order]
     if not len(ids):
         return empty
+    once = np.append(True, (ids[1:] != ids[:-1]) | (tokens[1:] != tokens[:-1]))  # rows that repeat an id post twice
+    ids, tokens, n = ids[once], tokens[once], n[once]
     head = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     count = np.diff(np.append(head, len(ids)))
     n = n[head]
