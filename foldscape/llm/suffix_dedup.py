@@ -306,6 +306,7 @@ def _bounded(buckets: int):
         length = place["windows"].astype(np.int64) + LENGTH - 1
         begin = np.cumsum(length) - length
         order = np.lexsort((place["start"], place["doc"]))
+        order = order[np.append(True, place[order][1:] != place[order][:-1])]  # rows that repeat id and text
         place, begin = place[order], begin[order]
         windows = place["windows"].astype(np.int64)
         at = ragged(begin, windows)
@@ -317,11 +318,6 @@ def _bounded(buckets: int):
             suffix = np.ascontiguousarray(sliding[at[a : a + BATCH]]).view(f"S{LENGTH}").reshape(-1)
             before[a : a + BATCH] = levels.add(suffix)
             a += BATCH
-        # repeated rows of one place aren't later than each other
-        again = np.append(False, (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]))
-        if again.any():
-            place_of = np.cumsum(~again) - 1
-            before = np.minimum.reduceat(before, np.flatnonzero(~again))[place_of]
         doc, start = doc[before], start[before]
         head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))) if len(doc) else np.zeros(0, np.int64)
         runs = np.diff(np.append(head, len(doc)))
