@@ -10,7 +10,8 @@ once a tier. Shards of half the target or more are left alone.
 
 Each change commits the next manifest: its version is claimed by creating a file
 that must not exist, and the manifest appears by a rename. Readers take the last
-one; a writer that loses the claim starts anew from there. A run that fails, or an
+one; a writer that loses the claim tries again from there, and a claim whose
+writer died is released after CLAIM_MINUTES. A run that fails, or an
 executor that is lost, leaves only files that no manifest names, which vacuum()
 removes. The driver holds names and sizes of shards, never rows.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,9 @@ FANOUT = 4
 SMALLEST = 1 << 20
 #: Merges in one job; each is one task.
 WAVE = 256
+ATTEMPTS = 20
+#: Age at which a claim without a manifest is taken for that of a writer that is gone.
+CLAIM_MINUTES = 30
 
 
 class Conflict(RuntimeError):
@@ -75,9 +80,12 @@ class Store:
         """Make `shards` the version after `base`, or raise Conflict."""
         after = {"version": base["version"] + 1, "schema": base["schema"] or schema, "shards": sorted(shards, key=lambda s: s["path"])}
         name = f"{self.root}/manifest/v{after['version']:010d}"
+        claim = self._path(f"{name}.claim")
         try:
-            self.fs.create(self._path(f"{name}.claim"), False).close()
+            self.fs.create(claim, False).close()
         except Exception as e:
+            if not self.fs.exists(self._path(f"{name}.json")) and self.fs.exists(claim) and self._age(claim) > CLAIM_MINUTES:
+                self.fs.delete(claim, False)  # its writer is gone; the next attempt may claim it
             raise Conflict(f"version {after['version']} is taken") from e
         draft = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
         out = self.fs.create(draft, True)
@@ -95,10 +103,19 @@ class Store:
         df.write.option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
         return [{"path": f"{folder}/{n}", "bytes": size, "tier": self.tier(size)} for n, size in self._files(f"{self.root}/data/{folder}") if n.startswith("part-")]
 
+    def _age(self, path) -> float:
+        return time.time() / 60 - self.fs.getFileStatus(path).getModificationTime() / 60_000
+
     def append(self, rows: DataFrame) -> dict:
-        """New shards from an arrival."""
-        base = self.manifest()
-        return self.commit(base, base["shards"] + self._written(rows), rows.schema.json())
+        """New shards from an arrival, on top of whatever was committed meanwhile."""
+        new = self._written(rows)
+        for attempt in range(ATTEMPTS):
+            base = self.manifest()
+            try:
+                return self.commit(base, base["shards"] + new, rows.schema.json())
+            except Conflict:
+                time.sleep(0.1 * (attempt + 1))
+        raise Conflict(f"no version was free in {ATTEMPTS} attempts")
 
     def _merges(self, shards: list[dict]) -> list[list[dict]]:
         """Groups of like-sized shards, each of the target size at most."""
@@ -132,7 +149,10 @@ class Store:
                 one = self._read(base, g).coalesce(1)
                 merged = one if merged is None else merged.union(one)
             gone = {s["path"] for g in groups for s in g}
-            self.commit(base, [s for s in base["shards"] if s["path"] not in gone] + self._written(merged), None)
+            try:
+                self.commit(base, [s for s in base["shards"] if s["path"] not in gone] + self._written(merged), None)
+            except Conflict:
+                continue  # the merge is done anew from the version that won
             self.vacuum()
 
     def vacuum(self) -> None:
