@@ -53,7 +53,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 SHARD_SHINGLES = 2_000_000
 LEAST_SHARDS = 512
 #: Documents in a block of a region.
-BLOCK_DOCS = 256
+BLOCK_DOCS = 128
 #: Regions of so many documents are no longer cut.
 SMALL = 48
 
@@ -249,7 +249,7 @@ class Region:
                 self.parent[self.parent == self.parent[x]] = self.parent[pivot]
         return 1 - both / union
 
-    def links(self, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    def links(self) -> list[tuple[int, int]]:
         self.join(np.arange(len(self.ids)), 1 - NUMERATOR / DENOMINATOR + 1e-9)
         return [(int(self.ids[a]), int(self.ids[b])) for a, b in self.found]
 
@@ -323,17 +323,22 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = written(both.where(f"{DENOMINATOR} * both >= {NUMERATOR} * (na + nb - both)").select("a", "b"))
     settled = components(stars)
     rest = written(regions.join(settled.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    still_open = (
-        rest.groupBy("a").agg(F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high").select("a", F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("blocks"))
-    )
+    home = rest.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("doc_id") == F.col("a"), F.col("component"))).alias("home"))
+    sided = rest.join(home.where("low < high").select("a", "home"), "a").select("a", "doc_id", "component", (F.col("component") != F.col("home")).alias("out"))
+    blocks = lambda n: F.ceil(n / BLOCK_DOCS).cast("int")
+    sizes_of = sided.groupBy("a").agg(F.count_if("out").alias("outs"), F.count("*").alias("docs")).select("a", blocks(F.col("outs")).alias("nout"), blocks(F.col("docs") - F.col("outs")).alias("nin"))
+    # every pair of components has a side outside the pivot's: blocks of those meet each other, and the pivot's blocks
+    place = F.pmod(F.xxhash64("doc_id", "a"), F.when(F.col("out"), F.col("nout")).otherwise(F.col("nin"))).cast("int")
+    task = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    among = each("nout", lambda k: task(0, F.least("block", k), F.greatest("block", k)))
+    across = F.when(F.col("nin") > 0, each("nin", lambda k: task(1, F.col("block"), k))).otherwise(F.array().cast("array<struct<side:int,i:int,j:int>>"))
     dealt = (
-        rest.join(still_open, "a").withColumn("block", F.pmod(F.xxhash64("doc_id", "a"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(found.select("doc_id", "n", "shared"), "doc_id")
-        .select("a", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "component", "shared")
+        sided.join(sizes_of, "a").withColumn("block", place)
+        .withColumn("task", F.explode(F.when(F.col("out"), F.concat(among, across)).otherwise(each("nout", lambda k: task(1, k, F.col("block"))))))
+        .join(found.select("doc_id", "n", "shared"), "doc_id").select("a", "task.*", "doc_id", "n", "component", "shared")
     )
-    more = dealt.groupBy("a", "i", "j").applyInArrow(_region_links, "a long, b long")
+    more = dealt.groupBy("a", "side", "i", "j").applyInArrow(_region_links, "a long, b long")
     return sizes, classes, stars.unionByName(written(more.distinct()))
 
 
