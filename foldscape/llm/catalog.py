@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op10_suffix_levels": suffix_dedup.SQL,
     "op1_temporal_list": url_filter.SQL,
     "op3_line_index": line_dedup.SQL,
     "op5_voronoi_join": jaccard_join.SQL,

@@ -413,3 +413,33 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as pairs of hexadecimal digits; a window is 2 * 100 of them.
+SQL = r"""
+WITH bytes AS (SELECT DISTINCT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (  -- of 500 windows each: substr() walks a string from its beginning
+  SELECT doc_id, 500 * p AS base, least(500, length(h) // 2 - 99 - 500 * p) AS n, substr(h, 1000 * p + 1, 1198) AS h
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 + 400, 0) // 500)) AS p FROM bytes)
+),
+windows AS (
+  SELECT doc_id, base + s AS s, md5(substr(h, 2 * s + 1, 200)) AS w FROM (SELECT doc_id, base, h, unnest(range(0, n)) AS s FROM pieces)
+),
+firsts AS (SELECT w, min((doc_id::HUGEINT << 40) + s) AS f FROM windows GROUP BY w),
+late AS (SELECT doc_id, s FROM windows JOIN firsts USING (w) WHERE (doc_id::HUGEINT << 40) + s > f),
+marked AS (SELECT doc_id, s, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) + 100 AS opens FROM late),
+grouped AS (SELECT doc_id, s, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM marked),
+spans AS (SELECT doc_id, g, min(s) AS a, max(s) + 100 AS b FROM grouped GROUP BY doc_id, g),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id
+),
+kept AS (
+  SELECT doc_id, string_agg(CASE WHEN g.b IS NULL THEN substr(h, 2 * g.a + 1) ELSE substr(h, 2 * g.a + 1, 2 * (g.b - g.a)) END, '' ORDER BY g.a) AS k
+  FROM gaps g JOIN bytes USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM documents d JOIN bytes USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
