@@ -37,50 +37,59 @@ def _blocks(df: DataFrame, value: str, base: list[str], names: list[str], kind:
     ).select("kind", "block", "row", "v", "b", "c.chunk", "c.x")
 
 
+_NEAR = np.dtype([("i", "<i4"), ("p", "<i8"), ("obs", "<f8"), ("d2", "<f8"), ("l", "<i8"), ("y", "<f8")])
+_FIRST = "pblock long, chunk int, near binary"
+
+
+def _ranked(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of each candidate and row, ties by library row; and where each group begins."""
+    near = near[np.lexsort((near["l"], near["d2"], near["p"], near["i"]))]
+    head = np.flatnonzero(np.append(True, (near["p"][1:] != near["p"][:-1]) | (near["i"][1:] != near["i"][:-1]))) if len(near) else np.zeros(0, np.int64)
+    rank = np.arange(len(near)) - np.repeat(head, np.diff(np.append(head, len(near))))
+    near = near[rank < k]
+    return near, np.flatnonzero(rank[rank < k] == 0)
+
+
 def _first(k: int, radius: int):
+    """The nearest library rows of one block, for each candidate of a chunk and row of a block to predict."""
+
     def run(key, rows):
         lib, pred = rows[rows.kind == "lib"], rows[rows.kind == "pred"]
-        out = {"pblock": [], "chunk": [], "p": [], "obs": [], "i": [], "d2": [], "l": [], "y": []}
+        found = []
         if len(lib) and len(pred):
-            pr, lr = pred.row.to_numpy(), lib.row.to_numpy()
+            pr, lr, obs, y = pred.row.to_numpy(), lib.row.to_numpy(), pred.v.to_numpy(float), lib.v.to_numpy(float)
             bp, bl, xp, xl = (_matrix(s) for s in (pred.b, lib.b, pred.x, lib.x))
             base = np.zeros((len(pr), len(lr)))
             for j in range(bp.shape[1]):
                 base += (bp[:, j, None] - bl[None, :, j]) ** 2
             base[np.abs(pr[:, None] - lr[None, :]) <= radius] = np.nan
-            order = np.argsort(lr)
-            lr, ly, base, xl = lr[order], lib.v.to_numpy(float)[order], base[:, order], xl[order]
             for i in range(xp.shape[1]):
                 d2 = base + (xp[:, i, None] - xl[None, :, i]) ** 2
                 d2[np.isnan(d2)] = np.inf
-                n = min(k, d2.shape[1])
-                # the kth distance, and stable ranks up to it: ties go to the smaller row
-                kth = np.partition(d2, n - 1, axis=1)[:, n - 1]
-                for r in range(len(pr)):
-                    near = np.flatnonzero((d2[r] <= kth[r]) & np.isfinite(d2[r]))
-                    near = near[np.argsort(d2[r, near], kind="stable")[:n]]
-                    if len(near):
-                        for name, x in (("pblock", key[0]), ("chunk", key[2]), ("p", int(pr[r])), ("obs", float(pred.v.iloc[r])), ("i", i), ("d2", d2[r, near].tolist()), ("l", lr[near].tolist()), ("y", ly[near].tolist())):
-                            out[name].append(x)
-        return pd.DataFrame(out)
+                kth = np.partition(d2, min(k, len(lr)) - 1, axis=1)[:, min(k, len(lr)) - 1]
+                at, to = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
+                near = np.empty(len(at), _NEAR)
+                near["i"], near["p"], near["obs"], near["d2"], near["l"], near["y"] = i, pr[at], obs[at], d2[at, to], lr[to], y[to]
+                found.append(_ranked(near, k)[0])
+        return pd.DataFrame({"pblock": [key[0]], "chunk": [key[2]], "near": [np.concatenate(found).tobytes()]} if found else {"pblock": [], "chunk": [], "near": []})
 
     return run
 
 
-_FIRST = "pblock long, chunk int, p long, obs double, i int, d2 array<double>, l array<long>, y array<double>"
-
-
 def _second(k: int):
+    """Forecasts from the nearest rows of all blocks."""
+
     def run(key, rows):
-        pred = []
-        for (p, i), g in rows.groupby(["p", "i"], sort=True):
-            d2, l, y = (np.concatenate([np.asarray(v, float) for v in g[c]]) for c in ("d2", "l", "y"))
-            order = np.lexsort((l, d2))[:k]
-            d, y = np.sqrt(d2[order]), y[order]
-            least = d.min()
-            w = np.maximum(np.exp(-d / least) if least > 0 else np.where(d == 0, 1.0, 0.0), LEAST_WEIGHT)
-            pred.append((int(i), int(p), float(g.obs.iloc[0]), float((w * y).sum() / w.sum())))
-        return pd.DataFrame([(int(key[1]), *x) for x in pred], columns=["chunk", "i", "p", "obs", "pred"])
+        near, head = _ranked(np.frombuffer(b"".join(rows.near), _NEAR), k)
+        if not len(near):
+            return pd.DataFrame({"chunk": [], "i": [], "p": [], "obs": [], "pred": []})
+        d = np.sqrt(near["d2"])
+        least = np.repeat(d[head], np.diff(np.append(head, len(near))))
+        w = np.where(least > 0, np.exp(-d / np.where(least > 0, least, 1.0)), np.where(d == 0, 1.0, 0.0))
+        w = np.maximum(w, LEAST_WEIGHT)
+        forecast = np.add.reduceat(w * near["y"], head) / np.add.reduceat(w, head)
+        first = near[head]
+        return pd.DataFrame({"chunk": int(key[1]), "i": first["i"], "p": first["p"], "obs": first["obs"], "pred": forecast})
 
     return run
 
