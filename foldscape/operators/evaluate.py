@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +17,8 @@ from foldscape.operators.neighbors import pair_table
 from foldscape.operators.panel import ROW, numeric, variables
 from foldscape.operators.simplex import simplex
 
+log = logging.getLogger("foldscape")
+
 #: Library rows up to which eigenvectors are taken on the driver.
 DIFFUSION_ROWS = 5_000
 
@@ -135,7 +139,8 @@ def forecasts(df: DataFrame, target: str, columns: list[str], *, features=None,
     if scale:
         own = minmax(own, ["obs", "pred"])
     train, test = panel.where(ranges(F.col(ROW), lib)), panel.where(ranges(F.col(ROW), pred))
-    a, b, _ = pca_scores(train, test, features, min(components, len(features)))
+    a, b, explained = pca_scores(train, test, features, min(components, len(features)))
+    log.info("explained variance: %s", [round(v, 4) for v in explained])
     y = panel.select(ROW, f"`{target}`")
     coordinates = [c for c in a.columns if c != ROW]
     by_pca = linear(a.join(y, ROW), b.join(y, ROW), coordinates, target)

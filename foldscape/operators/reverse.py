@@ -91,6 +91,7 @@ def driver_graph(
         run = lambda c: expand(panel, config=c, slopes=slopes)
     graph = DriverGraph(df.sparkSession)
     level, depth, seen, since = [(cfg.target, None)], 0, {cfg.target}, time.monotonic()
+    began = since
     every = max(1, round(len(names) * log_percent / 100)) if log_percent else max(1, log_every)
     while level:
         following = []
@@ -109,7 +110,9 @@ def driver_graph(
             done = len(graph.visited)
             if not quiet and (done == 1 or done % every == 0):
                 left = None if max_depth is None else max_depth - depth
-                log.info("%d of at most %d runs: %s at depth %d", done, run_ceiling(done, len(level) + len(following), len(names), left, cfg.max_dim), name, depth)
+                most = run_ceiling(done, len(level) + len(following), len(names), left, cfg.max_dim)
+                each = (time.monotonic() - began) / done
+                log.info("%d of at most %d runs: %s at depth %d; %.1f s a run, %.0f s left at most", done, most, name, depth, each, each * (most - done))
         if checkpoint and time.monotonic() - since >= 60 * checkpoint_minutes:
             checkpoint(graph)
             since = time.monotonic()
