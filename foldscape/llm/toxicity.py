@@ -43,10 +43,15 @@ SHORTEST, LONGEST = 3, 8
 LEAST_DOCS, LEAST_RATIO = 5, 30.0
 TOXIC_FROM = 0.7
 #: Look-alikes of Latin letters, and digits and signs used for letters.
-HOMOGLYPHS = {"а": "a", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "ο": "o", "о": "o", "р": "p", "ѕ": "s", "υ": "u", "у": "y", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t", "χ": "x", "в": "b", "к": "k", "м": "m", "н": "h", "т": "t", "ı": "i", "ɡ": "g", "ԁ": "d", "ԛ": "q", "ԝ": "w"}
+HOMOGLYPHS = {
+    "а": "a", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "ο": "o", "о": "o", "р": "p", "ѕ": "s",
+    "υ": "u", "у": "y", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t",
+    "χ": "x", "в": "b", "к": "k", "м": "m", "н": "h", "т": "t", "ı": "i", "ɡ": "g", "ԁ": "d", "ԛ": "q",
+    "ԝ": "w",
+}
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 #: Zero-width characters and soft hyphens, which hide inside words.
-INVISIBLE = "​‌‍⁠﻿­"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 _TRAILING = "!$@"
 
 
