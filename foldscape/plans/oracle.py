@@ -88,12 +88,23 @@ def _vectors(dims: int) -> str:
 
 
 _RHO = f"SELECT variable, round(rho, 6) AS rho FROM swept WHERE rho > -1.0 ORDER BY 2 DESC, {_order(OTHERS)}"
-_FIRST = f"win AS (SELECT variable, rho FROM swept WHERE rho > -1.0 ORDER BY rho DESC, {_order(OTHERS)} LIMIT 1)"
-_TWO = (
-    _SMOOTH + _LONG + _sweep(OTHERS) + ",\n" + _FIRST
-    + _sweep(OTHERS, "(c.value - d.value) * (c.value - d.value)", "JOIN win ON true JOIN long c ON c.row_id = p.row_id AND c.variable = win.variable JOIN long d ON d.row_id = l.row_id AND d.variable = win.variable AND a.variable <> win.variable", "2", 3)
-    + f",\nsecond AS (SELECT variable, rho FROM swept2 WHERE rho > -1.0 ORDER BY rho DESC, {_order(OTHERS)} LIMIT 1)"
-)
+
+
+def _two(names: list[str]) -> str:
+    """CTEs win and second: the best of `names`, and the best of the others together with it."""
+    best = lambda tag: f"SELECT variable, rho FROM swept{tag} WHERE rho > -1.0 ORDER BY rho DESC, {_order(OTHERS)} LIMIT 1"
+    joins = (
+        "JOIN win ON true JOIN long c ON c.row_id = p.row_id AND c.variable = win.variable "
+        "JOIN long d ON d.row_id = l.row_id AND d.variable = win.variable AND a.variable <> win.variable"
+    )
+    return (
+        _SMOOTH + _LONG + _sweep(names) + f",\nwin AS ({best('')})" + _sweep(names, "(c.value - d.value) * (c.value - d.value)", joins, "2", 3) + f",\nsecond AS ({best('2')})"
+    )
+
+
+_TWO = _two(OTHERS)
+_CHOSEN = "SELECT 1 AS dim, variable, round(rho, 6) AS rho FROM win UNION ALL SELECT 2, variable, round(rho, 6) FROM second"
+_PASSING = [a for a, b, s in SLOPES if b == TARGET and s is not None and s > 0.01]
 _RANKED = (
     f"SELECT 1 AS dim, row_number() OVER (ORDER BY rho DESC, {_order(OTHERS)}) AS rank, variable, round(rho, 6) AS rho FROM swept WHERE rho > -1.0 "
     f"UNION ALL SELECT 2, row_number() OVER (ORDER BY rho DESC, {_order(OTHERS)}), variable, round(rho, 6) FROM swept2 WHERE rho > -1.0"
@@ -201,7 +212,8 @@ SQL = {
         "SELECT variable || ',n_orders' AS columns, 'revenue' AS target, round(rho, 6) AS rho FROM swept UNION ALL SELECT variable, 'revenue', round(rho, 6) FROM swept2",
     ),
     "cross_map_all_rows": _q(_SMOOTH + _LONG + _sweep(["n_orders", "qty"], **_ALL_ROWS), "SELECT variable AS columns, round(rho, 6) AS rho FROM swept"),
-    "greedy_expand_2d": _q(_TWO, "SELECT 1 AS dim, variable, round(rho, 6) AS rho FROM win UNION ALL SELECT 2, variable, round(rho, 6) FROM second"),
+    "greedy_expand_2d": _q(_TWO, _CHOSEN),
+    "expand_with_matrix": _q(_two(_PASSING), _CHOSEN),
     "greedy_rankings": _q(_TWO, _RANKED),
     "top_ranked": _q(_TWO, f"SELECT * FROM ({_RANKED}) WHERE rank <= 2"),
     "embed_dimension": _q(_SMOOTH + _edim(4), "SELECT e, round(rho, 6) AS rho FROM curve"),
