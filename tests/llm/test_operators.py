@@ -141,6 +141,37 @@ def test_quality_base_counts_and_verdict(spark, docs, rows):
         assert r["base_failed"] == failed and r["kept"] == (not failed and r["score"] >= quality.THRESHOLD)
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_quality_keeps_clean_rows_without_a_label(spark, sf):
+    """Rows of plain prose pass whether a label names them or not; those of symbols, capitals and bars don't count here."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+    label = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+    def plain(t):
+        words = t.split()
+        letters = sum(c.isalpha() for c in t) / max(1, sum(not c.isspace() for c in t))
+        return letters > 0.8 and "|" not in t and sum(w.isupper() and len(w) > 1 for w in words) < 0.5 * len(words) and len(set(words)) > 0.3 * len(words)
+
+    found = [r for r in quality.quality(docs, labels).collect() if not r["base_failed"]]
+    good = [r for r in found if label.get(r["doc_id"]) == 1]
+    clean = [r for r in found if label.get(r["doc_id"]) is None and plain(text[r["doc_id"]])]
+    assert good and all(r["kept"] for r in good)
+    assert len(clean) > 50 and sum(r["kept"] for r in clean) >= 0.99 * len(clean)
+
+
+def test_quality_keeps_a_large_group_of_equal_clean_rows(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    clean = next(r["text"] for r in rows.join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").collect() if len(r["text"].split()) > 100)
+    many = spark.createDataFrame([(10**6 + i, clean + " thatched") for i in range(400)], "doc_id long, text string")
+    docs = rows.union(many)
+    found = got(quality.quality(docs, labels))
+    assert all(found[10**6 + i]["kept"] for i in range(400))
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", -1)
+    assert got(quality.quality(docs, labels)) == found
+
+
 def test_quality_without_labels_and_stage_keeps_columns(spark, docs, rows, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.quality(docs, none).collect()} == {0.0}
