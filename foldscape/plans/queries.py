@@ -290,8 +290,10 @@ def embedding_knn(spark, sf_dir):
 
 
 def embedding_crossmap(spark, sf_dir):
+    """Six dimensions beside e1, over all vectors."""
     df = panel_embedding(spark, sf_dir, 8)
-    return _rounded(crossmap.sweep(df, ["e1"], [f"e{i}" for i in range(2, 8)], "e0", ((1, 250),), ((251, 500),)).select("variable", "rho"), "rho")
+    lib, pred = default_split(df.count())
+    return _rounded(crossmap.sweep(df, ["e1"], [f"e{i}" for i in range(2, 8)], "e0", lib, pred).select("variable", "rho"), "rho")
 
 
 def embedding_wide(spark, sf_dir):
@@ -304,7 +306,8 @@ def embedding_wide(spark, sf_dir):
 def hourly_sweep(spark, sf_dir):
     """Candidates with nulls: rows without a value are nobody's neighbours."""
     df = panel_hourly(spark, sf_dir)
-    out = crossmap.sweep(df, [], ["n_view", "v_view", "v_error"], "n_click", ((1, 360),), ((361, 720),), radius=2)
+    lib, pred = default_split(df.count())
+    out = crossmap.sweep(df, [], ["n_view", "v_view", "v_error"], "n_click", lib, pred, radius=2)
     return _rounded(out.select("variable", "rho"), "rho")
 
 

@@ -1,5 +1,6 @@
 """Operators against independent numpy versions, and properties that must hold."""
 
+import datetime
 import json
 import math
 import os
@@ -14,6 +15,7 @@ from foldscape.config import ExpandConfig, as_ranges, default_split, resolve
 from foldscape.functions.stats import metrics, minmax, reported
 from foldscape.operators import causality, crossmap, embedding, evaluate, neighbors, panel, reverse, simplex
 from foldscape.operators.expand import expand
+from foldscape.plans import fixtures, queries
 from foldscape.plans.cost import strategy
 from foldscape.sources import readers, sinks
 
@@ -367,3 +369,49 @@ def test_plans_push_columns_to_the_scan(spark):
 
     plan = panel_weekly(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "l_comment" not in plan.split("== Physical Plan ==")[1] and "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_shipdate" in plan
+
+
+# --- queries over whole tables
+
+
+def slow_sweep(rows, base, names, target, radius=0):
+    """Skill of each name, with the first half of all rows as library and the rest predicted, by comparison."""
+    half, out = len(rows) // 2, {}
+    at = {r["row_id"]: r for r in rows}
+    for name in names:
+        columns = [*base, name]
+        pairs = []
+        for p in range(half + 1, len(rows) + 1):
+            near = sorted(
+                (sum((at[p][c] - at[l][c]) ** 2 for c in columns), l) for l in range(1, half + 1)
+                if abs(p - l) > radius and all(at[i][c] is not None for i in (p, l) for c in columns)
+            )[: len(columns) + 1]
+            if not near or p + 1 not in at:
+                continue
+            d = [math.sqrt(x) for x, _ in near]
+            w = [max(math.exp(-x / d[0]) if d[0] > 0 else float(x == 0), 1e-6) for x in d]
+            pairs.append((at[p + 1][target], sum(a * at[l + 1][target] for a, (_, l) in zip(w, near, strict=True)) / sum(w)))
+        out[name] = np.corrcoef(np.array(pairs).T)[0, 1]
+    return out
+
+
+def test_embedding_crossmap_uses_all_vectors(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r["variable"]: r["rho"] for r in queries.embedding_crossmap(spark, str(tmp_path)).collect()}
+    panel_rows = [{"row_id": i + 1} | {f"e{k}": round(x, 6) for k, x in enumerate(v)} for i, v in rows]
+    assert found == pytest.approx(slow_sweep(panel_rows, ["e1"], [f"e{i}" for i in range(2, 8)], "e0"), abs=2e-6)
+
+
+def test_hourly_sweep_uses_all_hours(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(start + datetime.timedelta(minutes=int(m)), kinds[int(rng.integers(5))], round(float(rng.normal()), 3)) for m in rng.integers(0, 800 * 60, 3000)]
+    rows += [(start, "click", 1.0), (start + datetime.timedelta(hours=799), "click", 1.0)]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r["variable"]: r["rho"] for r in queries.hourly_sweep(spark, str(tmp_path)).collect()}
+    hours = [r.asDict() for r in fixtures.panel_hourly(spark, str(tmp_path)).collect()]
+    assert len(hours) == 800
+    assert found == pytest.approx(slow_sweep(hours, [], ["n_view", "v_view", "v_error"], "n_click", 2), abs=2e-6)
