@@ -3,24 +3,31 @@
 A text is cut by the public split pattern. Each distinct word that a worker has
 not met yet becomes rows (word, position, id), one for a byte. A recursive query
 joins neighbouring ids with the merge table, contracts each word's leftmost pair
-of least rank, and goes on with the words that changed until none does. An
-ordered aggregation reads off ids and decoded bytes of the last round.
+of least rank, and goes on with the words that changed until none does. The
+recursion is keyed by word and position: a round replaces the rows that it
+changes and keeps no older ones, so memory is one row a byte however many rounds
+a word takes. An ordered aggregation over the last rows reads off ids and decoded
+bytes; a document's are those of its words, one after another.
 
 The merge table holds every way to cut a token of the vocabulary into two others,
-so a pair has a rank exactly if its joined bytes have one. Words longer than
-LONG bytes take as many rounds as they have merges, on as many rows; those go
-through a heap that takes the same pairs in the same order.
-
-Null and empty texts have no tokens: n_tokens 0, and the digests are of the empty
-string. Every row with a doc_id gives one row, repeated rows too; rows without
-are left out. What a worker remembers is bounded and never changes a result.
+so a pair has a rank exactly if its joined bytes have one. A round contracts, from
+the left, every pair of a word that has its least rank: the same as taking them
+one by one if no pair that this makes can rank lower. That holds where each token
+comes out of its own bytes by pairs of lower rank (`regular` looks at each one);
+with any other vocabulary a round contracts the leftmost pair alone.
+
+Words of any length and script take this way. A query's words are of like size and
+have QUERY_BYTES together; a longer word is a query of its own, whose memory grows
+with that word. Null and empty texts have no tokens: n_tokens 0, and the digests
+are of the empty string. Every row with a doc_id gives one row, repeated rows too;
+rows without are left out, and columns beside doc_id and text are pruned. What a
+worker remembers is bounded and never changes a result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,37 +38,40 @@ from pyspark.sql import DataFrame, SparkSession
 from foldscape.llm.common import batch, chunks, table, texts_of
 from foldscape.llm.pretoken import Words, split
 
-#: Words of more bytes go through a heap.
-LONG = 96
-#: Words in one recursive query.
-QUERY_WORDS = 16_384
+#: Bytes of the words in one recursive query.
+QUERY_BYTES = 1 << 18
+#: Memory of a query, and what a byte of a longer word adds to it.
+QUERY_MB, BYTE_ROOM = 500, 400
 
-#: A row knows its right neighbour's position and id, so a round needs no ordering:
-#: it finds each word's best pair, rewrites that row and its left neighbour, and drops the right one.
+#: A row knows its right neighbour's position and id, and the rank of the pair; a row that was contracted away has no id.
+#: Pairs of least rank that overlap form runs (of one id, as in "aaaa"), of which every other one is contracted.
 _ROUNDS = """
-WITH RECURSIVE t(word, pos, id, next_pos, next_id, round) AS (
-  SELECT word, pos, id, lead(pos) OVER w, lead(id) OVER w, 0 FROM fresh WINDOW w AS (PARTITION BY word ORDER BY pos)
+WITH RECURSIVE t(word, pos, id, next_pos, next_id, rank) USING KEY (word, pos) AS (
+  SELECT f.word, f.pos, f.id, f.next_pos, f.next_id, m.rank FROM fresh f LEFT JOIN merges m ON m.l = f.id AND m.r = f.next_id
   UNION ALL
-  SELECT k.word, k.pos, CASE WHEN k.pos = b.pos THEN b.rank ELSE k.id END,
-         CASE WHEN k.pos = b.pos THEN b.after_pos ELSE k.next_pos END,
-         CASE WHEN k.pos = b.pos THEN b.after_id WHEN k.next_pos = b.pos THEN b.rank ELSE k.next_id END,
-         k.round + 1
-  FROM t k
-  JOIN (
-    SELECT a.word, a.key % 65536 AS pos, a.key // 65536 AS rank, a.gone, z.next_pos AS after_pos, z.next_id AS after_id
-    FROM (
-      SELECT p.word, min(m.rank * 65536 + p.pos) AS key, arg_min(p.next_pos, m.rank * 65536 + p.pos) AS gone
-      FROM t p JOIN merges m ON m.l = p.id AND m.r = p.next_id GROUP BY p.word
-    ) a
-    JOIN t z ON z.word = a.word AND z.pos = a.gone
-  ) b ON b.word = k.word
-  WHERE k.pos <> b.gone
-),
-done AS (SELECT word, max(round) AS round FROM t GROUP BY word)
+  (WITH best AS (SELECT word, min(rank) AS rank FROM recurring.t WHERE word IN (SELECT word FROM t) GROUP BY word HAVING min(rank) IS NOT NULL),
+  hit AS (
+    SELECT word, rank, k.pos, k.next_pos, lag(k.next_pos) OVER (PARTITION BY word ORDER BY k.pos) IS DISTINCT FROM k.pos AS opens
+    FROM recurring.t k JOIN best USING (word, rank)
+  ),
+  runs AS (SELECT *, sum(opens::INT) OVER (PARTITION BY word ORDER BY pos) AS run FROM hit),
+  chosen AS (SELECT word, pos, next_pos AS gone, rank FROM runs QUALIFY {which}),
+  fused AS (
+    SELECT c.word, c.pos, c.rank AS id, z.next_pos, CASE WHEN d.pos IS NOT NULL THEN c.rank ELSE z.next_id END AS next_id
+    FROM recurring.t z JOIN chosen c ON c.word = z.word AND c.gone = z.pos LEFT JOIN chosen d ON d.word = z.word AND d.pos = z.next_pos
+    UNION ALL
+    SELECT k.word, k.pos, k.id, k.next_pos, c.rank
+    FROM recurring.t k JOIN chosen c ON c.word = k.word AND c.pos = k.next_pos
+    WHERE NOT EXISTS (SELECT 1 FROM chosen d WHERE d.word = k.word AND d.gone = k.pos)
+  )
+  SELECT f.word, f.pos, f.id, f.next_pos, f.next_id, m.rank FROM fused f LEFT JOIN merges m ON m.l = f.id AND m.r = f.next_id
+  UNION ALL SELECT word, gone, NULL, NULL, NULL, NULL FROM chosen)
+)
 SELECT word, list(id ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM t JOIN done USING (word, round) JOIN vocabulary USING (id)
-GROUP BY word ORDER BY word
+FROM t JOIN vocabulary USING (id) GROUP BY word ORDER BY word
 """
+_EVERY = _ROUNDS.format(which="row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1")
+_LEFTMOST = _ROUNDS.format(which="row_number() OVER (PARTITION BY word ORDER BY pos) = 1")
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -70,31 +80,18 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a word by contracting the leftmost pair of least rank until none is left."""
-    n = len(word)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    end = list(range(1, n + 1))  # where the token that begins at i ends; 0 once it is gone
-    heap = [(ranks[word[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, i, j, stop = heapq.heappop(heap)
-        if end[i] != j or j >= n or end[j] != stop:
-            continue
-        end[i], end[j], after[i] = stop, 0, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        for left in (before[i], i):
-            if left >= 0 and after[left] < n:
-                right = after[left]
-                rank = ranks.get(word[left : end[right]])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, left, right, end[right]))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[word[i : end[i]]])
-        i = after[i]
-    return out
+@cache
+def regular(path: str) -> bool:
+    """Whether every token of a rank file comes out of its own bytes by pairs of lower rank. Looked at once, on the driver."""
+    ranks = ranks_of(path)
+    for token, own in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            rank, at = min((ranks.get(a + b, own + 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank > own:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
 
 
 class Coder(Words):
@@ -102,17 +99,17 @@ class Coder(Words):
 
     LIMIT = 1_000_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, every: bool):
         import duckdb
 
-        self.ranks = ranks_of(path)
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
-        cuts = [(self.ranks[b[:k]], self.ranks[b[k:]], i) for b, i in self.ranks.items() for k in range(1, len(b)) if b[:k] in self.ranks and b[k:] in self.ranks]
-        self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "500MB", "temp_directory": ""})
-        left, right, rank = (pa.array(x, pa.int64()) for x in zip(*cuts, strict=True))
+        ranks = ranks_of(path)
+        cuts = [(ranks[b[:k]], ranks[b[k:]], i) for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks]
+        self.rounds = _EVERY if every else _LEFTMOST
+        self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.con = duckdb.connect(config={"threads": "1", "temp_directory": ""})
+        left, right, rank = (pa.array(x, pa.int32()) for x in zip(*cuts, strict=True))
         self.con.register("cuts", pa.table({"l": left, "r": right, "rank": rank}))
-        self.con.register("tokens", pa.table({"id": pa.array(list(self.bytes_of), pa.int64()), "hex": [b.hex() for b in self.bytes_of.values()]}))
+        self.con.register("tokens", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [b.hex() for b in ranks]}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM cuts")
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
         super().__init__(self.by_queries)
@@ -126,30 +123,38 @@ class Coder(Words):
         raw = [w.encode() for w in words]
         ids: list = [None] * len(raw)
         decoded: list = [None] * len(raw)
-        short = [i for i, w in enumerate(raw) if len(w) <= LONG]
-        for i, w in enumerate(raw):
-            if len(w) > LONG:
-                ids[i] = by_heap(w, self.ranks)
-                decoded[i] = b"".join(map(self.bytes_of.__getitem__, ids[i]))
-        for at in range(0, len(short), QUERY_WORDS):
-            some = short[at : at + QUERY_WORDS]
-            sizes = np.array([len(raw[i]) for i in some])
-            word = np.repeat(np.arange(len(some)), sizes)
-            pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            fresh = pa.table({"word": word, "pos": pos, "id": self.first[np.frombuffer(b"".join(raw[i] for i in some), np.uint8)]})
-            self.con.register("fresh", fresh)
-            found = self.con.sql(_ROUNDS).to_arrow_table()
-            for i, x, h in zip(some, found["ids"].to_pylist(), found["hex"].to_pylist(), strict=True):
-                ids[i], decoded[i] = x, bytes.fromhex(h)
+        order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
+        total = np.cumsum([len(raw[i]) for i in order])
+        at = 0
+        while at < len(order):
+            room = QUERY_BYTES + (int(total[at - 1]) if at else 0)
+            stop = max(at + 1, int(np.searchsorted(total, room, side="right")))
+            some, at = order[at:stop], stop
+            for i, (x, h) in zip(some, self.coded([raw[i] for i in some]), strict=True):
+                ids[i], decoded[i] = x, h
         self.id_text += [" ".join(map(str, x)) for x in ids]
         self.decoded += decoded
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.zeros(0, np.uint32), sizes
 
+    def coded(self, words: list[bytes]) -> Iterator[tuple[list[int], bytes]]:
+        """Ids and decoded bytes of each word, by one recursive query."""
+        sizes = np.array([len(w) for w in words])
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        first = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        last = pos == np.repeat(sizes, sizes) - 1
+        fresh = {"word": word, "pos": pos, "id": first, "next_pos": pa.array(pos + np.int32(1), mask=last), "next_id": pa.array(np.append(first[1:], np.int32(0)), mask=last)}
+        self.con.execute(f"SET memory_limit = '{QUERY_MB + BYTE_ROOM * max(0, len(word) - QUERY_BYTES) // 1_000_000}MB'")
+        self.con.register("fresh", pa.table(fresh))
+        found = self.con.sql(self.rounds).to_arrow_table()
+        self.con.unregister("fresh")
+        return zip(found["ids"].to_pylist(), map(bytes.fromhex, found["hex"].to_pylist()), strict=True)
+
 
 @cache
-def coder(path: str) -> Coder:
-    return Coder(path)
+def coder(path: str, every: bool) -> Coder:
+    return Coder(path, every)
 
 
 _CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.binary())])
@@ -157,8 +162,10 @@ _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sh
 
 
 def _coded(path: str, digests: bool):
+    every = regular(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        own = coder(path, every)
         for t in chunks(batches):
             points, starts, counts = split(t["text"])
             at = own.look(points, starts)

@@ -498,13 +498,40 @@ def test_bpe_round_trip(spark, rows):
         assert (r["n_tokens"], r["ids"], bytes(r["decoded"])) == (len(ids), " ".join(map(str, ids)), (t or "").encode())
 
 
-def test_heap_and_queries_agree():
-    coder = bpe.coder(P.path("byte_bpe_50k.tiktoken"))
+def tiktoken_ids(words):
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=bpe.ranks_of(path), special_tokens={})
+    return [" ".join(map(str, own.encode_ordinary(w))) for w in words]
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_recursive_queries_agree_with_the_library(every):
+    coder = bpe.coder(P.path("byte_bpe_50k.tiktoken"), every)
     rng = random.Random(1)
-    words = sorted({"".join(rng.choices("ehtinos éZ", k=rng.randint(1, 60))) for _ in range(300)})
+    words = sorted({"".join(rng.choices("ehtinos éZ", k=rng.randint(1, 60))) for _ in range(300)} | {"a" * 999, "ab" * 501, "aab" * 100, "x" * 64})
+    coder.clear()
+    coder.by_queries(words)
+    assert coder.id_text == tiktoken_ids(words)
+    assert coder.decoded == [w.encode() for w in words]
+    coder.clear()
+
+
+def test_vocabulary_is_regular():
+    assert bpe.regular(P.path("byte_bpe_50k.tiktoken"))
+
+
+def test_recursive_queries_hold_long_words_in_scripts_without_spaces():
+    """16,384 distinct words of 32 CJK characters, Thai paragraphs, and a word of 1 MB, within the memory of a query."""
+    coder = bpe.coder(P.path("byte_bpe_50k.tiktoken"), True)
+    rng = random.Random(2)
+    words = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(32)) for _ in range(16_384)]
+    words += ["".join(chr(rng.randint(0xE01, 0xE2E)) for _ in range(400)) for _ in range(20)] + ["ACGT" * 250_000, "".join(rng.choices("ACGT", k=50_000))]
     coder.clear()
     coder.by_queries(words)
-    assert coder.id_text == [" ".join(map(str, bpe.by_heap(w.encode(), coder.ranks))) for w in words]
+    assert coder.id_text == tiktoken_ids(words)
+    assert coder.decoded == [w.encode() for w in words]
     coder.clear()
 
 
