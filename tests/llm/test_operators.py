@@ -587,24 +587,139 @@ def test_temporal_list(spark):
     assert url_filter.temporal_list_join(c.limit(0), e).count() == 0
 
 
-def test_store_compacts_by_size(spark, tmp_path):
+def stored(store, version=None):
+    return sorted((tuple(r) for r in store.read(version).collect()), key=lambda r: r[0])
+
+
+def test_store_compacts_by_size_and_keeps_versions(spark, tmp_path):
     store = shards.Store(spark, f"file://{tmp_path}/s", target_bytes=60_000, fanout=4)
-    assert store.manifest()["version"] == 0
+    assert store.manifest()["version"] == 0 and store.read().count() == 0
     rng = random.Random(0)
     rows = [(i, None if i % 50 == 0 else "".join(rng.choices("abcdefghij", k=300)), "x") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, manifest string")
     for i in range(6):
         store.append(df.where(F.col("doc_id") % 6 == i).repartition(2))
     assert len(store.manifest()["shards"]) == 12 and store.version() == 6
-    first = store.read(3).count()
     done = store.compact()
-    assert first == 300 and len(done["shards"]) < 12 and all(s["bytes"] < 90_000 for s in done["shards"])
-    assert sorted(map(tuple, store.read().collect()), key=lambda r: r[0]) == rows
-    base = store.manifest()
+    assert len(done["shards"]) < 12 and all(s["bytes"] < 90_000 for s in done["shards"])
+    assert stored(store) == rows
+    assert stored(store, 3) == [r for r in rows if r[0] % 6 < 3]  # a version from before the merges
     store.append(df.limit(0))
-    with pytest.raises(shards.Conflict):
-        store.commit(base, [], None)
     assert store.read().count() == 600
+    store.vacuum(0)
+    assert stored(store, 3) == [r for r in rows if r[0] % 6 < 3]
+    store.expire(1)
+    store.vacuum(0)
+    assert stored(store) == rows and store.versions() == [store.version()]
+
+
+def test_store_keeps_columns_of_all_arrivals(spark, tmp_path):
+    store = shards.Store(spark, f"file://{tmp_path}/s", fanout=2)
+    first = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    more = spark.createDataFrame([(2, "b", "m", 5)], "doc_id long, text string, _metadata string, extra int")
+    store.append(first.coalesce(1))
+    store.append(more.coalesce(1))
+    want = [(1, "a", None, None), (2, "b", "m", 5)]
+    assert stored(store) == want and stored(store, 1) == [(1, "a")]
+    assert len(store.compact()["shards"]) == 1
+    store.append(first.coalesce(1))
+    assert sorted(stored(store), key=str) == sorted([*want, want[0]], key=str)
+    before = store.version()
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([(3, 4)], "doc_id long, text long"))
+    assert store.version() == before
+    assert {(r["doc_id"], r["n_bytes"]) for r in shards.placed(store).collect()} == {(1, 1), (2, 1)}
+
+
+def test_store_with_two_writers(spark, tmp_path, monkeypatch):
+    """A commit goes on top of another one; a merge whose shards are gone leaves nothing; an uncommitted arrival survives."""
+    monkeypatch.setattr(shards.time, "sleep", lambda s: None)
+    store, other = (shards.Store(spark, f"file://{tmp_path}/s", target_bytes=60_000, fanout=2) for _ in range(2))
+    row = lambda i: spark.createDataFrame([(i, f"text {i}")], "doc_id long, text string").coalesce(1)
+    for i in range(3):
+        store.append(row(i))
+    flying = other._written(row(7))  # written, not committed yet
+    real = store._merged
+
+    def merged(base, groups):
+        found = real(base, groups)
+        if base["version"] == 3:
+            other.append(row(3))  # somebody appends while the merge runs
+        return found
+
+    monkeypatch.setattr(store, "_merged", merged)
+    store.compact()
+    store.vacuum()
+    other.commit(flying)
+    assert [r[0] for r in stored(store)] == [0, 1, 2, 3, 7]
+    with pytest.raises(shards.Conflict):
+        store.commit([], ["run-none/part-0"])
+    late = other.manifest()
+    assert len(store.compact()["shards"]) == 1
+    lost = real(late, [late["shards"]])
+    with pytest.raises(shards.Conflict):
+        other.commit(lost, [s["path"] for s in late["shards"]])
+    assert [r[0] for r in stored(store)] == [0, 1, 2, 3, 7]
+
+
+def test_store_stops_at_an_unfinished_manifest_until_it_is_repaired(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards.time, "sleep", lambda s: None)
+    store = shards.Store(spark, f"file://{tmp_path}/s")
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1)
+    store.append(df)
+    (tmp_path / "s/manifest/v0000000002.json").write_text('{"version": 2, "sha')
+    assert store.version() == 1 and stored(store) == [(1, "a")]
+    with pytest.raises(shards.Conflict):
+        store.append(df)
+    assert not store.repair() and store.repair(0)
+    store.append(df)
+    assert store.version() == 3 and stored(store) == [(1, "a")] * 2
+
+
+def test_store_lists_changes_once_it_is_large(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "FULL_LIST", 2)
+    monkeypatch.setattr(shards, "SNAPSHOT_EVERY", 4)
+    store = shards.Store(spark, f"file://{tmp_path}/s", fanout=3)
+    for i in range(7):
+        store.append(spark.createDataFrame([(i, "x")], "doc_id long, text string").coalesce(1))
+        assert len(store.manifest()["shards"]) == i + 1
+    assert [r[0] for r in stored(store, 4)] == [0, 1, 2, 3]
+    store.compact()
+    store.append(spark.createDataFrame([(9, "x")], "doc_id long, text string").coalesce(1))
+    store.expire(2)
+    store.vacuum(0)
+    assert [r[0] for r in stored(store)] == [*range(7), 9]
+
+
+def test_size_tiered_query_against_the_files(spark, tmp_path, monkeypatch):
+    """Each document once, in the shard that holds it, with that file's size and tier; several arrivals and tiers."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs.repartition(24).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(shards, "SMALLEST", 16 << 10)
+    monkeypatch.setattr(shards, "shared_dir", lambda s: f"file://{tmp_path}/store")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # a task a file
+    try:
+        found = got(shards.op8_size_tiered(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {i: r["n_bytes"] for i, r in found.items()} == {i: None if t is None else len(t.encode()) for i, t in texts.items()}
+    seen = {}
+    for f in glob.glob(f"{tmp_path}/store/data/run-*/part-*"):
+        size = os.stat(f).st_size
+        for i in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist():
+            assert i not in seen
+            seen[i] = (size, max(0, math.floor(math.log(size / (16 << 10), 4))))
+            assert f"/{found[i]['shard']}" in f
+    assert {i: (r["shard_bytes"], r["tier"]) for i, r in found.items()} == seen
+    assert len(set(seen.values())) < 24
+    store = shards.Store(spark, f"file://{tmp_path}/store")
+    assert store.version() > shards.ARRIVALS and store._merges(store.manifest()["shards"]) == []
 
 
 # --- all of them
