@@ -57,16 +57,26 @@ def forget(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, a folder for each value of `by`: cuts lineage, and survives lost executors."""
     path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    to = df.write.option("compression", "zstd")
+    (to.partitionBy(by) if by else to).parquet(path)
     # shuffle files of steps before this one go when the driver's JVM collects what stands for them
     gc.collect()
     df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rewritten(df: DataFrame, old: DataFrame | None) -> DataFrame:
+    """`df` written, and then the table `old` from written(), which nothing needs any more, deleted."""
+    new = written(df)
+    if old is not None:
+        for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+            forget(df.sparkSession, folder)
+    return new
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Batches cut and joined to tables whose `text` has about `limit` bytes."""
     held, size = [], 0

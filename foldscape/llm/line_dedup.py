@@ -11,18 +11,20 @@ index has two tables in the shared folder, in versions:
   filter first: most lines of a corpus are new, and those are appended without a
   look at the table; the others are looked up, which settles false positives.
   Deleting a document lowers its keys' counts; a key without documents leaves
-  the table, and its fingerprint the filter.
+  the table, and its fingerprint the filter. Shards split as postings grow.
 
-Arrivals are summed by key in each task before they are dealt out, so a line that
-a third of all documents hold arrives at its shard once a task. The verdicts are
-joined to postings by key, an inner equi-join whose hot partitions Spark splits,
-and only ids and digests take part; texts move once, to meet their verdicts.
+Documents come in arrivals, one after another, each against the index of those
+before. An arrival is summed by key in each task before it is dealt out, so a line
+that a third of all documents hold arrives at its shard once a task. The verdicts
+are joined to postings by key, an inner equi-join whose hot partitions Spark
+splits, and only ids and digests take part; texts move once, to meet their verdicts.
 
 A key in MIN_DOCS documents or more loses all its lines but those of the largest
 doc_id that holds it. Null and empty texts are one empty line, and a text whose
-lines all go is empty. Rows that repeat a doc_id count as so many documents; none
-of them is dropped where that id is the largest. Rows without a doc_id are left
-out. An empty table gives no rows.
+lines all go is empty. A row is a document: rows that repeat a doc_id count as so
+many, none of them is dropped where that id is the largest, and delete() takes back
+all of them. Rows without a doc_id are left out, and columns beside doc_id and text
+are pruned. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,13 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldscape.llm.common import LOWER, batch, chunks, flat, mixed, table, texts_of, written
+from foldscape.llm.common import LOWER, batch, chunks, flat, mixed, rewritten, table, texts_of, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 #: Postings a shard is planned for; the number of shards grows with the input.
 SHARD_POSTINGS = 250_000
 LEAST_SHARDS = 256
+#: The query deals its table into so many arrivals, then takes back one document in WITHDRAWN, by a hash of the id, and inserts it again.
+ARRIVALS, WITHDRAWN = 3, 64
 #: Distinct keys that a task sums up before it passes them on.
 COMBINED_KEYS = 1_000_000
 _BLANKS = b"\x20\t\n\x0b\x0c\r"
@@ -220,7 +224,7 @@ def _combined(shards: int):
         refs = np.bincount(code, minlength=len(unique))
         last = np.full(len(unique), np.iinfo(np.int64).min)
         np.maximum.at(last, code, np.concatenate(ids))
-        shard = (mixed(_hash(unique) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(shards)).astype(np.int32)
+        shard = _shard_of(unique, shards)
         raw = pa.py_buffer(unique.tobytes())
         fixed = pa.Array.from_buffers(pa.binary(16), len(unique), [None, raw])
         yield from pa.Table.from_batches([batch(schema, shard, fixed, refs, last)]).to_batches(max_chunksize=50_000)
@@ -251,12 +255,33 @@ def _first(key, arrivals):
     return _merged(key, arrivals, [])
 
 
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """A shard's keys stay together, or split by the factor, when the number of shards is multiplied."""
+    return (mixed(_hash(keys) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(shards)).astype(np.int32)
+
+
+def _split(shards: int):
+    """Each shard's table and filter as those of the shards that it becomes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                old = Shard(row)
+                to = _shard_of(old.keys, shards)
+                for shard in np.unique(to).tolist():
+                    own, new = to == shard, Shard()
+                    new.insert(old.keys[own], old.refs[own], old.last[own])
+                    yield from new.state(shard).to_batches()
+
+    return run
+
+
 def _inserted(key, arrivals, states):
     return _merged(key, arrivals, states.to_pylist())
 
 
 def _deleted(key, gone, states):
-    own = Shard(states.to_pylist()[0])
+    own = Shard(next(iter(states.to_pylist()), None))
     if gone.num_rows:
         own.delete(_key_array(gone["key"]), gone["refs"].to_numpy(), gone["last"].to_numpy())
     return own.state(key[0].as_py())
@@ -270,20 +295,31 @@ class LineIndex:
         self.postings: DataFrame | None = None
         self.shards: DataFrame | None = None
         self.n_shards = 0
+        self.held = 0
+
+    def insert(self, docs: DataFrame, arrivals: int = 1) -> LineIndex:
+        """`docs` as from texts_of, in so many arrivals of one scan, dealt out by a hash of the id."""
+        arrival = F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int").alias("arrival")
+        new = written(docs.mapInArrow(_postings(self.min_chars), "key binary, doc_id long").select("*", arrival), "arrival")
+        sizes = {r["arrival"]: r["n"] for r in new.groupBy("arrival").agg(F.count("*").alias("n")).collect()}
+        for i in range(arrivals):
+            self._arrive(new.where(F.col("arrival") == i).drop("arrival"), sizes.get(i, 0))
+        new = new.drop("arrival")
+        self.postings = new if self.postings is None else self.postings.unionByName(new)
+        return self
 
-    def insert(self, docs: DataFrame) -> LineIndex:
-        """`docs` as from texts_of."""
-        new = written(docs.mapInArrow(_postings(self.min_chars), "key binary, doc_id long"))
-        if not self.n_shards:
-            self.n_shards = max(LEAST_SHARDS, new.count() // SHARD_POSTINGS)
-        arrivals = new.mapInArrow(_combined(self.n_shards), _ARRIVAL_DDL)
+    def _arrive(self, new: DataFrame, size: int) -> None:
+        self.held += size
         if self.shards is None:
-            state = arrivals.groupBy("shard").applyInArrow(_first, _STATE_DDL)
+            self.n_shards = max(LEAST_SHARDS, size // SHARD_POSTINGS)
+        elif self.held > 2 * self.n_shards * SHARD_POSTINGS:
+            self.n_shards *= -(-self.held // (self.n_shards * SHARD_POSTINGS))
+            self.shards = rewritten(self.shards.mapInArrow(_split(self.n_shards), _STATE_DDL), self.shards)
+        arrived = new.mapInArrow(_combined(self.n_shards), _ARRIVAL_DDL).groupBy("shard")
+        if self.shards is None:
+            self.shards = written(arrived.applyInArrow(_first, _STATE_DDL))
         else:
-            state = arrivals.groupBy("shard").cogroup(self.shards.groupBy("shard")).applyInArrow(_inserted, _STATE_DDL)
-        self.shards = written(state)
-        self.postings = new if self.postings is None else self.postings.unionByName(new)
-        return self
+            self.shards = rewritten(arrived.cogroup(self.shards.groupBy("shard")).applyInArrow(_inserted, _STATE_DDL), self.shards)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Take back documents: `ids` has their doc_id."""
@@ -296,11 +332,10 @@ class LineIndex:
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                shard = mixed(_hash(_key_array(b["key"])) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), b["key"], b["refs"], b["last"]], ["shard", "key", "refs", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(_shard_of(_key_array(b["key"]), n)), b["key"], b["refs"], b["last"]], ["shard", "key", "refs", "last"])
 
         by_shard = lost.mapInArrow(dealt, _ARRIVAL_DDL).groupBy("shard")
-        self.shards = written(by_shard.cogroup(self.shards.groupBy("shard")).applyInArrow(_deleted, _STATE_DDL))
+        self.shards = rewritten(by_shard.cogroup(self.shards.groupBy("shard")).applyInArrow(_deleted, _STATE_DDL), self.shards)
         self.postings = left
         return self
 
@@ -352,23 +387,26 @@ def _resolved(min_chars: int):
 
 
 def op3_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, in arrivals; some are taken back and inserted again, which leaves every count as it was."""
     docs = texts_of(table(spark, sf_dir, "documents"))
-    out = LineIndex().insert(docs).resolve(docs)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    index = LineIndex().insert(docs, ARRIVALS)
+    again = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(WITHDRAWN)) == 0)
+    index.delete(again.select("doc_id")).insert(again)
+    return index.resolve(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = r"""
-WITH lines AS (
-  SELECT doc_id, i, line, regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS MATERIALIZED (
+  SELECT r, doc_id, i, line, regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+  FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM numbered)
 ),
-held AS (SELECT key, count(DISTINCT doc_id) AS n, max(doc_id) AS last FROM lines WHERE length(key) >= 20 GROUP BY key),
+held AS (SELECT key, count(DISTINCT r) AS n, max(doc_id) AS last FROM lines WHERE length(key) >= 20 GROUP BY key),
 judged AS (
   SELECT l.*, h.key IS NOT NULL AS gone FROM lines l LEFT JOIN held h ON h.key = l.key AND h.n >= 3 AND l.doc_id <> h.last
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+FROM judged GROUP BY r, doc_id
 """

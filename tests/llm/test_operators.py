@@ -221,6 +221,33 @@ def test_line_dedup_and_its_reversal(spark, rows):
     assert {bytes(k): r["last"] for k, r in fresh.items()} == {bytes(r["key"]): r["last"] for r in index.repeated(1).collect()}
 
 
+def test_line_index_in_arrivals_with_growing_shards(spark, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAST_SHARDS", 2)
+    monkeypatch.setattr(line_dedup, "SHARD_POSTINGS", 20)
+    docs = texts_of(frame(spark, rows))
+    index = line_dedup.LineIndex().insert(docs, 5)
+    assert index.n_shards > 2 and index.shards.count() > 2
+    checked_lines(index.resolve(docs), rows)
+    some = docs.where("doc_id % 7 < 3")
+    index.delete(some.select("doc_id")).insert(some, 2)
+    checked_lines(index.resolve(docs), rows)
+    assert index.shards.inputFiles() and all(line_dedup.Shard(r.asDict()).filter.holds(line_dedup._hash(line_dedup.Shard(r.asDict()).keys)).all() for r in index.shards.collect())
+
+
+def test_line_query_counts_rows_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    line = "a line that is long enough to count"
+    rows = [(1, line), (1, line), (2, f"x\n{line}"), (5, f"other line, also long enough\n{line.upper()}  "), (7, None), (7, "other line, also long enough")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = line_dedup.op3_line_index(spark, str(tmp_path))
+    want = con.sql(line_dedup.SQL)
+    assert found.columns == want.columns
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())
+
+
 def test_cuckoo_filter_holds_deletes_and_grows():
     rng = np.random.default_rng(1)
     keys = np.array([rng.bytes(16) for _ in range(20_000)], "S16")
