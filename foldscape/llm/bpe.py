@@ -10,11 +10,12 @@ a word takes. An ordered aggregation over the last rows reads off ids and decode
 bytes; a document's are those of its words, one after another.
 
 The merge table holds every way to cut a token of the vocabulary into two others,
-so a pair has a rank exactly if its joined bytes have one. A round contracts, from
-the left, every pair of a word that has its least rank: the same as taking them
-one by one if no pair that this makes can rank lower. That holds where each token
-comes out of its own bytes by pairs of lower rank (`regular` looks at each one);
-with any other vocabulary a round contracts the leftmost pair alone.
+so a pair has a rank exactly if its joined bytes have one. In words of more than
+MANY_ROUNDS bytes a round contracts, from the left, every pair that has the least
+rank: the same as taking them one by one if no pair that this makes can rank lower.
+That holds where each token comes out of its own bytes by pairs of lower rank
+(`regular` looks at each one); with any other vocabulary a round contracts the
+leftmost pair alone, whatever the word's length.
 
 Words of any length and script take this way. A query's words are of like size and
 have QUERY_BYTES together; a longer word is a query of its own, whose memory grows
@@ -39,13 +40,35 @@ from foldscape.llm.common import batch, chunks, table, texts_of
 from foldscape.llm.pretoken import Words, split
 
 #: Bytes of the words in one recursive query.
-QUERY_BYTES = 1 << 18
+QUERY_BYTES = 1 << 17
 #: Memory of a query, and what a byte of a longer word adds to it.
 QUERY_MB, BYTE_ROOM = 500, 400
 
-#: A row knows its right neighbour's position and id, and the rank of the pair; a row that was contracted away has no id.
+#: Words of more bytes have all pairs of least rank contracted in a round, so that a word of a megabyte takes thousands of rounds and not a million.
+MANY_ROUNDS = 256
+
+#: A row knows its right neighbour's position and id; a row that was contracted away has no id. key: the pair's rank and place.
+_LEFTMOST = """
+WITH RECURSIVE t(word, pos, id, next_pos, next_id, key) USING KEY (word, pos) AS (
+  SELECT f.word, f.pos, f.id, f.next_pos, f.next_id, (m.rank::BIGINT << 32) + f.pos FROM fresh f LEFT JOIN merges m ON m.l = f.id AND m.r = f.next_id
+  UNION ALL
+  (WITH chosen AS (
+    SELECT word, (min(key) & 4294967295)::INT AS pos, (min(key) >> 32)::INT AS rank, arg_min(next_pos, key) AS gone
+    FROM recurring.t WHERE key IS NOT NULL AND word IN (SELECT word FROM t) GROUP BY word
+  ),
+  fused AS (
+    SELECT c.word, c.pos, c.rank AS id, z.next_pos, z.next_id FROM recurring.t z JOIN chosen c ON c.word = z.word AND c.gone = z.pos
+    UNION ALL
+    SELECT k.word, k.pos, k.id, k.next_pos, c.rank FROM recurring.t k JOIN chosen c ON c.word = k.word AND c.pos = k.next_pos
+  )
+  SELECT f.word, f.pos, f.id, f.next_pos, f.next_id, (m.rank::BIGINT << 32) + f.pos FROM fused f LEFT JOIN merges m ON m.l = f.id AND m.r = f.next_id
+  UNION ALL SELECT word, gone, NULL, NULL, NULL, NULL FROM chosen)
+)
+SELECT word, list(id ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
+FROM t JOIN vocabulary USING (id) GROUP BY word ORDER BY word
+"""
 #: Pairs of least rank that overlap form runs (of one id, as in "aaaa"), of which every other one is contracted.
-_ROUNDS = """
+_EVERY = """
 WITH RECURSIVE t(word, pos, id, next_pos, next_id, rank) USING KEY (word, pos) AS (
   SELECT f.word, f.pos, f.id, f.next_pos, f.next_id, m.rank FROM fresh f LEFT JOIN merges m ON m.l = f.id AND m.r = f.next_id
   UNION ALL
@@ -55,7 +78,7 @@ WITH RECURSIVE t(word, pos, id, next_pos, next_id, rank) USING KEY (word, pos) A
     FROM recurring.t k JOIN best USING (word, rank)
   ),
   runs AS (SELECT *, sum(opens::INT) OVER (PARTITION BY word ORDER BY pos) AS run FROM hit),
-  chosen AS (SELECT word, pos, next_pos AS gone, rank FROM runs QUALIFY {which}),
+  chosen AS (SELECT word, pos, next_pos AS gone, rank FROM runs QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1),
   fused AS (
     SELECT c.word, c.pos, c.rank AS id, z.next_pos, CASE WHEN d.pos IS NOT NULL THEN c.rank ELSE z.next_id END AS next_id
     FROM recurring.t z JOIN chosen c ON c.word = z.word AND c.gone = z.pos LEFT JOIN chosen d ON d.word = z.word AND d.pos = z.next_pos
@@ -70,8 +93,6 @@ WITH RECURSIVE t(word, pos, id, next_pos, next_id, rank) USING KEY (word, pos) A
 SELECT word, list(id ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
 FROM t JOIN vocabulary USING (id) GROUP BY word ORDER BY word
 """
-_EVERY = _ROUNDS.format(which="row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1")
-_LEFTMOST = _ROUNDS.format(which="row_number() OVER (PARTITION BY word ORDER BY pos) = 1")
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -104,7 +125,7 @@ class Coder(Words):
 
         ranks = ranks_of(path)
         cuts = [(ranks[b[:k]], ranks[b[k:]], i) for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks]
-        self.rounds = _EVERY if every else _LEFTMOST
+        self.every = every
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": "1", "temp_directory": ""})
         left, right, rank = (pa.array(x, pa.int32()) for x in zip(*cuts, strict=True))
@@ -147,7 +168,7 @@ class Coder(Words):
         fresh = {"word": word, "pos": pos, "id": first, "next_pos": pa.array(pos + np.int32(1), mask=last), "next_id": pa.array(np.append(first[1:], np.int32(0)), mask=last)}
         self.con.execute(f"SET memory_limit = '{QUERY_MB + BYTE_ROOM * max(0, len(word) - QUERY_BYTES) // 1_000_000}MB'")
         self.con.register("fresh", pa.table(fresh))
-        found = self.con.sql(self.rounds).to_arrow_table()
+        found = self.con.sql(_EVERY if self.every and sizes.max() > MANY_ROUNDS else _LEFTMOST).to_arrow_table()
         self.con.unregister("fresh")
         return zip(found["ids"].to_pylist(), map(bytes.fromhex, found["hex"].to_pylist()), strict=True)
 
