@@ -8,31 +8,35 @@ exception phrase begins at the same word. A document's score is a logistic
 function of the weighted hits, as a sum and for each word: normalised by length.
 
 Everything is learned from labelled rows that aren't held out (crc32 of the id,
-modulo 3, is not 1), at most TRAIN_ROWS of them, taken by a hash of the id:
-terms by their log-likelihood ratio between toxic and other documents, weights by
-log odds, exceptions from phrases around hits that only clean documents have, and
-the logistic function by Newton's method. A term in many copies of one document
-would look strong, so equal texts count once. The model's size is bounded by
-TERMS and EXCEPTIONS; scoring is one scan, without a shuffle.
+modulo 3, is not 1), at most TRAIN_ROWS of them, taken by a hash of the id. Equal
+texts among them count once, with the label of their smallest id, so that a term in
+many copies of one document doesn't look strong. Terms are rated by the
+log-likelihood ratio between toxic and other documents that have them, or have them
+twice, whichever tells more; weights are log odds; exceptions are the two words from
+a hit on that LEAST_EXCUSED clean documents have and no toxic one; the logistic
+function is fitted by Newton's method to hits that exceptions have been taken from.
+All of it is sums over the sample, so that the model is the same however rows are
+dealt out. Its size is bounded by TERMS and EXCEPTIONS; scoring is one scan, without
+a shuffle.
 
 Null and empty texts have no hits: the score is the model's for none. Rows that
-repeat each get a row; rows without a doc_id are left out. With no usable label,
-or with one class alone, every score is 0.0. Labels with nulls count as none.
+repeat each get a row; rows without a doc_id are left out, and columns beside doc_id
+and text are pruned. With no usable label, or with one class alone, every score is
+0.0. Labels with nulls count as none.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldscape.llm.common import batch, chunks, table, texts_of
+from foldscape.llm.common import batch, chunks, table, texts_of, written
 
 #: The most labelled rows that a model is fitted on.
 TRAIN_ROWS = 20_000
@@ -41,6 +45,8 @@ TERMS, EXCEPTIONS = 64, 200
 SHORTEST, LONGEST = 3, 8
 #: Toxic documents that a term needs, and its least log-likelihood ratio.
 LEAST_DOCS, LEAST_RATIO = 5, 30.0
+#: Clean documents that an exception phrase needs.
+LEAST_EXCUSED = 3
 TOXIC_FROM = 0.7
 #: Look-alikes of Latin letters, and digits and signs used for letters.
 HOMOGLYPHS = {
@@ -84,16 +90,19 @@ def automaton(weights: dict[str, float], exceptions: list[str]):
     return out
 
 
+def spans(found, text: str) -> list[tuple[int, float]]:
+    """Where hits begin (at the space before their word) and their weights, without those that an exception begins at."""
+    if not len(found):
+        return []
+    every = [(end + 1 - size, w) for end, (size, w) in found.iter(text + " ")]
+    excused = {at for at, w in every if w is None}
+    return [(at, w) for at, w in every if w is not None and at not in excused]
+
+
 def hits(found, text: str) -> tuple[float, int, int]:
     """Summed weights, number of hits and words of a folded text."""
     n = text.count(" ") if len(text) > 1 else 0
-    if not len(found):
-        return 0.0, 0, n
-    spans = [(end - size, w) for end, (size, w) in found.iter(text)]
-    if not spans:
-        return 0.0, 0, n
-    excused = {at for at, w in spans if w is None}
-    counted = [w for at, w in spans if w is not None and at not in excused]
+    counted = [w for _, w in spans(found, text)]
     return math.fsum(counted), len(counted), n
 
 
@@ -109,46 +118,52 @@ def _train_labels(labels: DataFrame) -> dict[int, int]:
     return {r["doc_id"]: r["toxic"] for r in rows.collect()}
 
 
-def _labelled(t: pa.Table, labels: dict[int, int]) -> Iterator[tuple[int, str]]:
-    ids = t["doc_id"].to_pylist()
-    for i, doc in enumerate(ids):
-        if doc in labels:
-            yield labels[doc], folded(t["text"][i].as_py())
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, label and text of the rows to learn from: equal texts once, TRAIN_ROWS at most."""
+    known = _train_labels(labels)
+    named = docs.sparkSession.createDataFrame(sorted(known.items()), "doc_id long, label int")
+    digest = F.sha2(F.col("text"), 256)
+    rows = docs.join(F.broadcast(named), "doc_id").groupBy(digest.alias("digest")).agg(F.min(F.struct("doc_id", "label", "text")).alias("r"))
+    return written(rows.select("r.*"))
 
 
-def _stems(labels: dict[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        counts = (Counter(), Counter())
-        for t in chunks(batches):
-            for label, text in _labelled(t, labels):
-                digest = hashlib.blake2b(text.encode(), digest_size=12).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    counts[label].update({w[:k] for w in set(text.split()) for k in range(min(len(w), SHORTEST), min(len(w), LONGEST) + 1)})
-        every = sorted(counts[0].keys() | counts[1].keys())
-        for a in range(0, len(every), 50_000):
-            some = every[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([counts[0][s] for s in some]), pa.array([counts[1][s] for s in some])], ["stem", "clean", "toxic"])
+def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Beginnings of words, and how many clean and toxic texts have them, and have them twice."""
+    counts: dict[str, list[int]] = {}
+    for t in chunks(batches):
+        for label, text in zip(t["label"].to_pylist(), t["text"].to_pylist(), strict=True):
+            own = Counter(w[:k] for w in folded(text).split() for k in range(min(len(w), SHORTEST), min(len(w), LONGEST) + 1))
+            for stem, n in own.items():
+                at = counts.setdefault(stem, [0, 0, 0, 0])
+                at[label] += 1
+                at[2 + label] += n > 1
+    every = sorted(counts)
+    for a in range(0, len(every), 50_000):
+        some = every[a : a + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array([counts[s][i] for s in some], pa.int64()) for i in range(4))], _STEM_COUNTS)
 
-    return run
+
+_STEM_COUNTS = ["stem", "clean", "toxic", "clean_twice", "toxic_twice"]
 
 
-def _contexts(labels: dict[int, int], weights: dict[str, float]):
-    """Of each labelled text its label, hits and words, and the phrases that begin at its hits."""
+def _contexts(weights: dict[str, float]):
+    """Of each text its label, its words, and the weight of its hits by the two words that they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(weights, [])
+        schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("n", pa.int64()), ("phrases", pa.list_(pa.string())), ("totals", pa.list_(pa.float64()))])
         for t in chunks(batches):
             rows = []
-            for label, text in _labelled(t, labels):
-                digest = hashlib.blake2b(text.encode(), digest_size=12).hexdigest()
-                total, _, n = hits(found, text)
-                starts = {end - size + 1 for end, (size, _) in found.iter(text)} if total and len(found) else set()
-                phrases = {" " + " ".join(text[s + 1 : s + 100].split(" ")[:2]) + " " for s in starts}
-                rows.append((digest, label, total, n, sorted(phrases)))
+            for doc, label, text in zip(t["doc_id"].to_pylist(), t["label"].to_pylist(), t["text"].to_pylist(), strict=True):
+                text = folded(text)
+                by: dict[str, list[float]] = {}
+                for at, w in spans(found, text):
+                    one = (text + " ").find(" ", at + 1)
+                    two = (text + " ").find(" ", one + 1)
+                    by.setdefault((text + " ")[at : (one if two < 0 else two) + 1], []).append(w)
+                rows.append((doc, label, hits(found, text)[2], sorted(by), [math.fsum(by[p]) for p in sorted(by)]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.string())), strict=True)], ["digest", "label", "total", "n", "phrases"])
+                yield batch(schema, *(list(c) for c in zip(*rows, strict=True)))
 
     return run
 
@@ -178,43 +193,42 @@ class Model:
         return round(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))), 9)
 
 
-def _ratio(a: float, b: float, n1: float, n0: float) -> float:
-    """Log-likelihood ratio of a among n1 against b among n0."""
+def _rated(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Log-likelihood ratio of a among n1 against b among n0; 0 where a isn't three times as frequent."""
     p = (a + b) / (n1 + n0)
-    terms = ((a, n1 * p), (n1 - a, n1 * (1 - p)), (b, n0 * p), (n0 - b, n0 * (1 - p)))
-    return 2 * math.fsum(k * math.log(k / e) for k, e in terms if k > 0 and e > 0)
+    pairs = ((a, n1 * p), (n1 - a, n1 * (1 - p)), (b, n0 * p), (n0 - b, n0 * (1 - p)))
+    total = sum((F.when((k > 0) & (e > 0), k * F.log(k / e)).otherwise(0.0) for k, e in pairs), F.lit(0.0))
+    return F.when(a / n1 > 3 * b / n0, 2 * total).otherwise(0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """`docs` as from texts_of; `labels` with doc_id and toxic."""
-    known = _train_labels(labels)
-    n1 = sum(known.values())
-    n0 = len(known) - n1
+    rows = sample(docs, labels)
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model({}, [], None)
+    c = {x: F.col(x) for x in _STEM_COUNTS}
     counted = (
-        docs.mapInArrow(_stems(known), "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") / n1 > 3 * F.col("clean") / n0))
-        .orderBy(F.col("toxic") / n1 - F.col("clean") / n0, "stem", ascending=[False, True]).limit(20_000).collect()
+        rows.mapInArrow(_stems, ", ".join(["stem string", *[f"{x} long" for x in _STEM_COUNTS[1:]]])).groupBy("stem").agg(*[F.sum(x).alias(x) for x in _STEM_COUNTS[1:]])
+        .where((c["toxic"] >= LEAST_DOCS) & (c["toxic"] / n1 > 3 * c["clean"] / n0))
+        .withColumn("rating", F.greatest(_rated(c["toxic"], c["clean"], n1, n0), _rated(c["toxic_twice"], c["clean_twice"], n1, n0)))
+        .where(F.col("rating") >= LEAST_RATIO).collect()
     )
-    rated = sorted(((_ratio(min(r["toxic"], n1), min(r["clean"], n0), n1, n0), r["stem"], r["toxic"], r["clean"]) for r in counted), key=lambda x: (-round(x[0], 6), -len(x[1]), x[1]))
     weights: dict[str, float] = {}
-    for ratio, stem, toxic, clean in rated:
-        if ratio < LEAST_RATIO or len(weights) == TERMS:
-            break
-        if not any(f" {stem}".startswith(t) or t.startswith(f" {stem}") for t in weights):
-            weights[f" {stem}"] = round(math.log((toxic + 0.5) / (n1 + 1)) - math.log((clean + 0.5) / (n0 + 1)), 6)
-    rows = docs.mapInArrow(_contexts(known, weights), "digest string, label int, total double, n long, phrases array<string>")
-    clean, toxic, seen, x, y = Counter(), Counter(), set(), [], []
-    for r in sorted(rows.collect(), key=lambda r: (r["digest"], r["label"])):
-        if r["digest"] not in seen:
-            seen.add(r["digest"])
-            (toxic if r["label"] else clean).update(r["phrases"])
-            x.append(features(r["total"], r["n"]))
-            y.append(r["label"])
-    excused = sorted((p for p, c in clean.items() if c >= 3 and not toxic[p]), key=lambda p: (-clean[p], p))[:EXCEPTIONS]
-    coefficients = logistic(np.array(x), np.array(y, float))
-    return Model(weights, excused, [round(float(c), 9) for c in coefficients])
+    for r in sorted(counted, key=lambda r: (-round(r["rating"], 6), -len(r["stem"]), r["stem"])):
+        stem = f" {r['stem']}"
+        if len(weights) < TERMS and not any(stem.startswith(t) or t.startswith(stem) for t in weights):
+            weights[stem] = round(math.log((r["toxic"] + 0.5) / (n1 + 1)) - math.log((r["clean"] + 0.5) / (n0 + 1)), 6)
+    seen = sorted(rows.mapInArrow(_contexts(weights), "doc_id long, label int, n long, phrases array<string>, totals array<double>").collect(), key=lambda r: (r["doc_id"], r["label"], r["n"], r["phrases"]))
+    clean, toxic = Counter(), Counter()
+    for r in seen:
+        (toxic if r["label"] else clean).update(r["phrases"])
+    excused = sorted((p for p, k in clean.items() if k >= LEAST_EXCUSED and not toxic[p]), key=lambda p: (-clean[p], p))[:EXCEPTIONS]
+    gone = set(excused)
+    x = [features(math.fsum(w for p, w in zip(r["phrases"], r["totals"], strict=True) if p not in gone), r["n"]) for r in seen]
+    coefficients = logistic(np.array(x), np.array([r["label"] for r in seen], float))
+    return Model(weights, excused, [round(float(k), 9) for k in coefficients])
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("hits", pa.int64())])
