@@ -16,13 +16,22 @@ opened only where distances below 1 can be:
 3. Distances to the pivots are measured; documents within r of one are linked
    to it, and components of these links contracted. In a group of near copies
    that settles all but the boundary.
-4. Regions that still hold several components are joined recursively: pivots
-   create Voronoi regions, and a document is replicated to each region whose pivot
-   is not further than its own pivot by more than 2r, which by the triangle
-   inequality is wherever a partner of it can be. Regions that no longer shrink
-   are compared pivot by pivot, within windows of the distances known so far, and
-   only across components. A large region is cut into blocks, and each pair of
-   blocks is a task of its own: no task holds more than two blocks.
+4. Regions that still hold several components are joined recursively. A region of
+   REGION_DOCS documents or fewer is a task. A larger one is cut: pivots, a few for
+   as many documents, create Voronoi regions; slices of its documents meet all of
+   its pivots, are linked to those within r, and are replicated to each region whose
+   pivot is not further than their own by more than 2r, which by the triangle
+   inequality is wherever a partner can be. Those regions are joined in the same
+   way, at the next level, by a shuffle; ones with a single component end.
+5. Where pivots tell nothing apart (all distances alike, so that windows hold
+   nearly everything), or few documents lie outside the largest component, a region
+   is compared in blocks: only blocks of which one lies outside the largest
+   component, and whose distances to a pivot and sizes allow a link.
+
+In a task, documents are compared pivot by pivot, within windows of the distances
+known so far, only across components, and only if the shingles that each of the
+two has in common with any other document are enough. No task holds more than two
+blocks, or a slice and the pivots.
 
 Shingles are compared by 54 bits of a hash. Two different shingles of a pair
 would have to agree in all of them to change its result.
@@ -36,6 +45,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,16 +56,22 @@ from pyspark.sql import functions as F
 from foldscape.llm.common import LOWER, batch, chunks, flat, gram_hashes, mixed, span_hashes, table, texts_of, words_of, written
 from foldscape.llm.graph import components
 
+log = logging.getLogger("foldscape")
+
 WORDS = 5
 #: Similar if NUMERATOR * union <= DENOMINATOR * intersection.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Shingles that one shard of the counting is planned for; the number of shards grows with the input.
 SHARD_SHINGLES = 2_000_000
 LEAST_SHARDS = 512
-#: Documents in a block of a region.
-BLOCK_DOCS = 128
-#: Regions of so many documents are no longer cut.
+#: Documents of a region that is joined in one task; in a slice that meets a region's pivots; in a block.
+REGION_DOCS, SLICE_DOCS, BLOCK_DOCS = 256, 512, 256
+#: Pivots of a region at most (in the mean), levels of regions, and copies of a document beyond which cutting is of no use.
+PIVOTS, LEVELS, COPIES = 64, 4, 2
+#: Regions of so many documents are no longer cut within a task.
 SMALL = 48
+#: The largest distance of a link; the last digits of distances are rounded.
+RADIUS = 1 - NUMERATOR / DENOMINATOR + 1e-9
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +266,7 @@ class Region:
         return 1 - both / union
 
     def links(self) -> list[tuple[int, int]]:
-        self.join(np.arange(len(self.ids)), 1 - NUMERATOR / DENOMINATOR + 1e-9)
+        self.join(np.arange(len(self.ids)), RADIUS)
         return [(int(self.ids[a]), int(self.ids[b])) for a, b in self.found]
 
     def join(self, docs: np.ndarray, r: float) -> None:
@@ -273,8 +289,9 @@ class Region:
         far = self.measure(int(docs[0]), docs)
         for i in range(1, len(docs) - 1):
             p, rest = int(docs[i]), docs[i + 1 :]
-            small, large = np.minimum(self.n[rest], self.n[p]), np.maximum(self.n[rest], self.n[p])
-            near = (np.abs(far[i + 1 :] - far[i]) <= r) & (self.parent[rest] != self.parent[p]) & (DENOMINATOR * small >= NUMERATOR * large)
+            most = np.minimum(self.count[rest], self.count[p])  # shingles that the two can have in common
+            enough = DENOMINATOR * most >= NUMERATOR * (self.n[rest] + self.n[p] - most)
+            near = (np.abs(far[i + 1 :] - far[i]) <= r) & (self.parent[rest] != self.parent[p]) & enough
             if near.any():
                 self.measure(p, rest[near])
 
@@ -282,13 +299,107 @@ class Region:
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _region(rows: pa.Table) -> Region:
+    return Region(rows["doc_id"].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy(), [np.asarray(x, np.int64) for x in rows["shared"].to_pylist()])
+
+
 def _region_links(rows):
-    sets = [np.asarray(x, np.int64) for x in rows["shared"].to_pylist()]
-    region = Region(rows["doc_id"].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy(), sets)
-    found = region.links()
+    found = _region(rows).links()
     return pa.Table.from_batches([batch(_LINKS, [a for a, _ in found], [b for _, b in found])])
 
 
+#: sub: a region below this one that the document is in; null for a link (doc_id to other).
+_CUT = pa.schema([("a", pa.int64()), ("sub", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64()), ("other", pa.int64()), ("bin", pa.int32()), ("own", pa.bool_())])
+_CUT_DDL = "a long, sub long, doc_id long, component long, other long, bin int, own boolean"
+
+
+def _cut_region(rows):
+    """Documents of a slice against all pivots of their region: links, and the Voronoi regions that they are in."""
+    region, a = _region(rows), rows["a"][0].as_py()
+    pivot = rows["pivot"].to_numpy(zero_copy_only=False)
+    pivots, docs = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+    pivots = pivots[np.argsort(region.ids[pivots])]
+    distance = np.stack([region.measure(int(p), docs) for p in pivots])
+    inside = distance <= distance.min(axis=0) + 2 * RADIUS
+    at, to = np.nonzero(inside)
+    sub = mixed((np.uint64(a % (1 << 64)) * np.uint64(0x9E3779B97F4A7C15)) ^ region.ids[pivots].view(np.uint64)).view(np.int64)
+    bins = (distance[0] / RADIUS).astype(np.int32)  # partners are in neighbouring bins
+    comps = rows["component"].to_numpy()
+    links = region.found
+    n, k = len(at), len(links)
+    return pa.Table.from_batches([batch(
+        _CUT, np.full(n + k, a), pa.array([*sub[at].tolist(), *[None] * k], pa.int64()),
+        np.concatenate([region.ids[docs[to]], [region.ids[x] for x, _ in links]]).astype(np.int64),
+        pa.array([*comps[docs[to]].tolist(), *[None] * k], pa.int64()), pa.array([*[None] * n, *[int(region.ids[y]) for _, y in links]], pa.int64()),
+        np.concatenate([bins[to], np.zeros(k, np.int32)]), np.concatenate([at == distance.argmin(axis=0)[to], np.zeros(k, bool)]),
+    )])
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Members (a, doc_id, component) of regions with several components; the largest is the region's home."""
+    each = members.groupBy("a", "component").agg(F.count("*").alias("m"))
+    home = each.groupBy("a").agg(F.max(F.struct("m", "component")).alias("home"), F.sum("m").alias("docs"), F.count("*").alias("comps")).where("comps > 1")
+    facts = home.select("a", F.col("home.component").alias("home"), "docs", (F.col("docs") - F.col("home.m")).alias("outs"))
+    return members.join(facts, "a").select("a", "doc_id", "component", "docs", "outs", (F.col("component") != F.col("home")).alias("out"))
+
+
+def _cut_regions(wide: DataFrame, found: DataFrame, level: int) -> DataFrame:
+    """Rows of _CUT for regions (as from _several), by slices."""
+    draw = F.xxhash64("doc_id", "a", F.lit(level))
+    least = wide.groupBy("a").agg(F.min_by("doc_id", draw).alias("first"))
+    k = F.least(F.lit(PIVOTS), F.ceil(2 * F.col("docs") / REGION_DOCS))
+    drawn = wide.join(least, "a").withColumn("pivot", (F.col("doc_id") == F.col("first")) | (F.pmod(draw, F.ceil(F.col("docs") / k)) == 0))
+    slices = F.ceil(F.col("docs") / SLICE_DOCS).cast("int")
+    docs = drawn.select("a", F.pmod(F.xxhash64("doc_id"), slices).cast("int").alias("slice"), F.lit(False).alias("pivot"), "doc_id", "component")
+    pivots = drawn.where("pivot").select("a", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(True).alias("pivot"), "doc_id", "component")
+    return docs.unionByName(pivots).join(found, "doc_id").groupBy("a", "slice").applyInArrow(_cut_region, _CUT_DDL)
+
+
+def _by_blocks(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Links of regions (a, doc_id, component, out, bin), a pair of blocks a task."""
+    own = docs.join(found.select("doc_id", "n"), "doc_id").withColumn("kind", F.floor(F.log(1.34, "n")).cast("int"))  # partners are in neighbouring kinds
+    cells = own.groupBy("a", "out", "bin", "kind").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+    own = own.join(cells, ["a", "out", "bin", "kind"]).withColumn("block", F.pmod(F.xxhash64("doc_id", "a"), F.col("blocks")).cast("int"))
+    one, two = (cells.select("a", *[F.col(c).alias(f"{c}{i}") for c in ("out", "bin", "kind", "blocks")]) for i in (1, 2))
+    near = one.where("out1").join(two, "a").where("abs(bin1 - bin2) <= 1 and abs(kind1 - kind2) <= 1 and (not out2 or struct(bin1, kind1) <= struct(bin2, kind2))")
+    same = F.expr("out2 and bin1 = bin2 and kind1 = kind2")
+    each = near.withColumn("same", same).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks1") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
+    tasks = each.where("not same or i <= j").withColumn("task", F.xxhash64("out2", "bin1", "kind1", "i", "bin2", "kind2", "j"))
+    left = tasks.select("a", "task", F.lit(True).alias("out"), F.col("bin1").alias("bin"), F.col("kind1").alias("kind"), F.col("i").alias("block"))
+    right = tasks.where("not same or i < j").select("a", "task", F.col("out2").alias("out"), F.col("bin2").alias("bin"), F.col("kind2").alias("kind"), F.col("j").alias("block"))
+    dealt = own.join(left.unionByName(right), ["a", "out", "bin", "kind", "block"]).select("a", "task", "doc_id", "component")
+    return dealt.join(found, "doc_id").groupBy("a", "task").applyInArrow(_region_links, "a long, b long")
+
+
+def region_links(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the components of each region; members (a, doc_id, component), found (doc_id, n, shared)."""
+    links = []
+    for level in range(LEVELS + 1):
+        live = written(_several(members))
+        if live.isEmpty():
+            break
+        small, large = live.where(F.col("docs") <= REGION_DOCS), live.where(F.col("docs") > REGION_DOCS)
+        links.append(written(small.join(found, "doc_id").select("a", "doc_id", "n", "component", "shared").groupBy("a").applyInArrow(_region_links, "a long, b long")))
+        if large.isEmpty():
+            break
+        uncut = (F.col("outs") <= REGION_DOCS) | F.lit(level == LEVELS)
+        links.append(written(_by_blocks(large.where(uncut).withColumn("bin", F.lit(0)), found)))
+        wide = large.where(~uncut)
+        cut = written(_cut_regions(wide, found, level))
+        links.append(cut.where("sub is null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
+        subs = cut.where("sub is not null")
+        sums = subs.groupBy("a").agg(F.count("*").alias("copies"), F.count_if("own").alias("docs"))
+        stuck = sums.where(F.col("copies") > COPIES * F.col("docs")).select("a")
+        same = subs.where("own").join(stuck, "a").select("a", "doc_id", "bin")
+        links.append(written(_by_blocks(wide.join(same, ["a", "doc_id"]), found)))
+        members = subs.join(stuck, "a", "left_anti").select(F.col("sub").alias("a"), "doc_id", "component")
+        log.info("level %d: %d regions cut, %d of them compared in blocks, %d links", level, sums.count(), stuck.count(), sum(x.count() for x in links[-3:]))
+    out = links[0] if links else members.select("a", F.col("doc_id").alias("b")).limit(0)
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (n, f1, f2, doc_id: its smallest), and links (a, b) between such ids that connect all components.
 
@@ -323,23 +434,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = written(both.where(f"{DENOMINATOR} * both >= {NUMERATOR} * (na + nb - both)").select("a", "b"))
     settled = components(stars)
     rest = written(regions.join(settled.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("a", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    home = rest.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("doc_id") == F.col("a"), F.col("component"))).alias("home"))
-    sided = rest.join(home.where("low < high").select("a", "home"), "a").select("a", "doc_id", "component", (F.col("component") != F.col("home")).alias("out"))
-    blocks = lambda n: F.ceil(n / BLOCK_DOCS).cast("int")
-    sizes_of = sided.groupBy("a").agg(F.count_if("out").alias("outs"), F.count("*").alias("docs")).select("a", blocks(F.col("outs")).alias("nout"), blocks(F.col("docs") - F.col("outs")).alias("nin"))
-    # every pair of components has a side outside the pivot's: blocks of those meet each other, and the pivot's blocks
-    place = F.pmod(F.xxhash64("doc_id", "a"), F.when(F.col("out"), F.col("nout")).otherwise(F.col("nin"))).cast("int")
-    task = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
-    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
-    among = each("nout", lambda k: task(0, F.least("block", k), F.greatest("block", k)))
-    across = F.when(F.col("nin") > 0, each("nin", lambda k: task(1, F.col("block"), k))).otherwise(F.array().cast("array<struct<side:int,i:int,j:int>>"))
-    dealt = (
-        sided.join(sizes_of, "a").withColumn("block", place)
-        .withColumn("task", F.explode(F.when(F.col("out"), F.concat(among, across)).otherwise(each("nout", lambda k: task(1, k, F.col("block"))))))
-        .join(found.select("doc_id", "n", "shared"), "doc_id").select("a", "task.*", "doc_id", "n", "component", "shared")
-    )
-    more = dealt.groupBy("a", "side", "i", "j").applyInArrow(_region_links, "a long, b long")
-    return sizes, classes, stars.unionByName(written(more.distinct()))
+    return sizes, classes, stars.unionByName(region_links(rest, found.select("doc_id", "n", "shared")).distinct())
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

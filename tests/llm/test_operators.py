@@ -335,6 +335,33 @@ def test_region_recursion_is_exact(seed, monkeypatch):
                 assert find(a) == find(b)
 
 
+def drifting(seed, families=2, docs=60):
+    """Copies of templates from which much is changed: some are linked, most of a family lie a little too far apart."""
+    rng = random.Random(seed)
+    rows = []
+    for f in range(families):
+        base = [f"f{f}w{i}" for i in range(90)]
+        for _ in range(docs):
+            words = list(base)
+            for _ in range(rng.randint(0, 7)):
+                words[rng.randrange(90)] = f"x{rng.randrange(6)}"
+            rows.append((len(rows) * 3 + 1, " ".join(words)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("copies", [0, 4])
+def test_regions_that_are_cut_across_tasks_lose_no_link(spark, monkeypatch, caplog, copies):
+    """Pivots, windows and levels by shuffles, and blocks where cutting is of no use, with small regions, slices and blocks."""
+    for name, value in (("REGION_DOCS", 12), ("SLICE_DOCS", 20), ("BLOCK_DOCS", 15), ("SMALL", 4), ("PIVOTS", 5), ("COPIES", copies), ("LEVELS", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = drifting(copies)
+    with caplog.at_level("INFO", "foldscape"):
+        found = got(jaccard_join.jaccard_components(frame(spark, rows)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == slow_components(rows)
+    assert any("regions cut" in m and not m.startswith("level 0: 0 ") for m in caplog.messages)
+
+
 def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 7), (7, 5), (9, 9)], "a long, b long")
     found = {r["node"]: r["component"] for r in graph.components(links).collect()}
@@ -533,8 +560,9 @@ def tiktoken_ids(words):
     return [" ".join(map(str, own.encode_ordinary(w))) for w in words]
 
 
-@pytest.mark.parametrize("every", [True, False])
-def test_recursive_queries_agree_with_the_library(every):
+@pytest.mark.parametrize(("every", "many"), [(True, 0), (True, 256), (False, 0)])
+def test_recursive_queries_agree_with_the_library(every, many, monkeypatch):
+    monkeypatch.setattr(bpe, "MANY_ROUNDS", many)
     coder = bpe.coder(P.path("byte_bpe_50k.tiktoken"), every)
     rng = random.Random(1)
     words = sorted({"".join(rng.choices("ehtinos éZ", k=rng.randint(1, 60))) for _ in range(300)} | {"a" * 999, "ab" * 501, "aab" * 100, "x" * 64})
@@ -572,7 +600,7 @@ def test_toxicity_on_held_out_rows(spark):
     scored = toxicity.toxicity(docs, model).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 = 1").toPandas()
     sure = scored[scored.score >= toxicity.TOXIC_FROM]
     assert (sure.toxic == 1).mean() > 0.95
-    assert (scored[scored.toxic == 1].score >= toxicity.TOXIC_FROM).mean() > 0.8
+    assert (scored[scored.toxic == 1].score >= toxicity.TOXIC_FROM).mean() >= 0.9
     ranks = scored.score.rank()
     n = (scored.toxic == 1).sum()
     assert (ranks[scored.toxic == 1].sum() - n * (n + 1) / 2) / n / (len(scored) - n) > 0.93
@@ -587,6 +615,57 @@ def test_folding_and_exceptions():
     assert toxicity.hits(found, toxicity.folded("an antiscum lid")) == (0.0, 0, 3)
 
 
+def slow_score(model, text):
+    """A score by looking for every term and exception at every word, one by one."""
+    text = toxicity.folded(text or "")
+    words = text.split(" ")[1:] if len(text) > 1 else []
+    total, n_hits = [], 0
+    for i in range(len(words)):
+        rest = " " + " ".join(words[i:]) + " "
+        if any(rest.startswith(p) for p in model.exceptions):
+            continue
+        for term, w in model.weights.items():
+            if rest.startswith(term):
+                total.append(w)
+                n_hits += 1
+    return model.score(math.fsum(total), len(words)), n_hits
+
+
+def toxic_corpus():
+    rng = random.Random(3)
+    plain = ["the", "old", "mill", "stands", "by", "a", "river", "and", "bread", "is", "baked"]
+    rows, labels = [], []
+    for i in range(240):
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 60))]
+        bad = i % 3 == 0
+        for _ in range(rng.randint(1, 3) if bad else 0):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["scumbag", "ІDІ0T!", "l0sers"]))
+        if not bad and i % 16 == 1:
+            words += ["scumbag", "peak"] + ["and"] * (i % 32 == 1)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad), int(bad)))
+    rows += [(1000 + i, rows[0][1]) for i in range(50)] + [(2000, None), (2001, ""), (0, rows[0][1]), (2002, "scumbag peak"), (2003, "SCUMBAG! peaks")]
+    labels += [(1000 + i, 1, 1) for i in range(50)] + [(None, 1, 1), (2000, None, None)]
+    return rows, labels
+
+
+def test_toxicity_against_brute_force_however_rows_are_dealt(spark):
+    rows, labels = toxic_corpus()
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    models = [toxicity.fit(texts_of(docs.repartition(n)), labels) for n in (1, 16)]
+    model = models[0]
+    assert (model.weights, model.exceptions, model.coefficients) == (models[1].weights, models[1].exceptions, models[1].coefficients)
+    assert " scumbag peak " in model.exceptions and any(t.startswith(" idiot") for t in model.weights)
+    scored = toxicity.toxicity(docs, model).collect()
+    assert len(scored) == len(rows)
+    texts = dict(rows)
+    for r in scored:
+        assert (r["score"], r["hits"]) == slow_score(model, texts[r["doc_id"]]), r["doc_id"]
+    verdict = {r["doc_id"]: r["score"] >= toxicity.TOXIC_FROM for r in scored}
+    assert sum(verdict[i] == (i % 3 == 0) for i in range(240)) >= 230
+
+
 def test_toxicity_without_labels(spark, docs, empty, rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(texts_of(docs), none)
