@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,9 +38,14 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a temporary one."""
+    """A new folder below spark.checkpoint.dir or the context's; where both are unset, below a temporary one, but only in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = own.get() if own.isDefined() else None
+    if not base:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="foldscape-")
         spark.conf.set("spark.checkpoint.dir", f"file://{base}")
         base = f"file://{base}"
@@ -77,6 +83,18 @@ def rewritten(df: DataFrame, old: DataFrame | None) -> DataFrame:
     return new
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """`base`, or with a number, such that no column's name begins with it; case doesn't count."""
+    held = [c.lower() for c in columns]
+    return next(t for t in (base + str(i or "") for i in range(len(held) + 1)) if not any(c.startswith(t.lower()) for c in held))
+
+
+def undotted(df: DataFrame) -> DataFrame:
+    """`df` with other names for columns that Spark's Arrow functions can't refer to: those with dots or backticks."""
+    tag = free_name(df.columns, "column_")
+    return df.toDF(*[f"{tag}{i}" if "." in c or "`" in c else c for i, c in enumerate(df.columns)])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Batches cut and joined to tables whose `text` has about `limit` bytes."""
     held, size = [], 0

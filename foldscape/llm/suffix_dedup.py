@@ -31,7 +31,9 @@ by window, by content. Texts move to meet their verdicts by doc_id alone.
 Null and empty texts lose nothing, nor do texts shorter than LENGTH. Matches are
 judged on the input, never cross documents, and overlaps count. Rows that repeat
 both id and text are the same place: neither is earlier, and both get the same
-row. Rows without a doc_id are left out. An empty table gives no rows.
+row. Different texts of one doc_id are different documents, in the order of a hash.
+Rows without a doc_id are left out. An empty table gives no rows. cut_repeats()
+keeps further columns, whatever their names; the others prune them.
 """
 
 from __future__ import annotations
@@ -41,10 +43,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldscape.llm.common import BYTE_CODE, batch, chunks, flat, mixed, ragged, table, texts_of, written
+from foldscape.llm.common import BYTE_CODE, batch, chunks, flat, free_name, mixed, ragged, table, texts_of, undotted, written
 
 LENGTH = 100
 GRAM = 32
@@ -52,8 +54,8 @@ GRAMS = LENGTH - GRAM + 1
 #: Input bytes that a shard is planned for; the number of shards grows with the input.
 SHARD_BYTES = 4 << 20
 LEAST_SHARDS = 512
-#: Windows in a batch of the family, and starting positions worked on at once.
-BATCH, BLOCK = 1 << 16, 1 << 20
+#: Suffixes in a batch of the family, and starting positions worked on at once.
+BATCH, BLOCK = 1 << 12, 1 << 20
 #: Variants of an anchor beyond which its windows are dealt out one by one.
 HOT = 4096
 _POSITION = np.uint64((1 << 24) - 1)
@@ -358,8 +360,27 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_CLEANED, t["doc_id"].combine_chunks(), np.diff(offsets), np.diff(n_gone), np.diff(n_open), [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
 
+def _numbers(texts: DataFrame) -> DataFrame | None:
+    """If a doc_id has several texts: place (a running number), doc_id and h of each text, in order of id and hash."""
+    h = F.xxhash64("text")
+    if texts.groupBy("doc_id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").isEmpty():
+        return None
+    each = texts.select("doc_id", h.alias("h")).distinct().repartitionByRange("doc_id", "h").withColumn("part", F.spark_partition_id())
+    each = written(each.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "h"))))
+    sizes = {r["part"]: r["n"] for r in each.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    before = [(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes]
+    starts = texts.sparkSession.createDataFrame(before, "part int, before long")
+    return each.join(F.broadcast(starts), "part").select((F.col("before") + F.col("nth")).alias("place"), "doc_id", "h")
+
+
 def repeats(texts: DataFrame) -> DataFrame:
-    """doc_id and late: the windows of each document that occurred before, as packed spans. `texts` as from texts_of."""
+    """place, h and late: the windows of each document that occurred before, as packed spans. `texts` as from texts_of.
+
+    place is the doc_id; h is the hash of the text that is meant, and null if the id has no other.
+    """
+    numbers = _numbers(texts)
+    if numbers is not None:
+        texts = texts.withColumn("h", F.xxhash64("text")).join(numbers, ["doc_id", "h"]).select(F.col("place").alias("doc_id"), "text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, size // SHARD_BYTES)
     posted = texts.mapInArrow(_posted(shards), _DEALT_DDL)
@@ -370,17 +391,29 @@ def repeats(texts: DataFrame) -> DataFrame:
         asked.mapInArrow(_asked(shards), _TEXTS_DDL).groupBy("shard").applyInArrow(_bounded(shards), _DEALT_DDL)
         .groupBy("key").applyInArrow(_by_doc, _BY_DOC_DDL)
     )
-    return (
+    late = (
         verdicts.select("doc_id", "late").unionByName(found.select("doc_id", "late"))
         .groupBy("doc_id").agg(F.array_join(F.transform(F.collect_list("late"), F.hex), "").alias("late"))
-        .select("doc_id", F.unhex("late").alias("late"))
+        .select(F.col("doc_id").alias("place"), F.unhex("late").alias("late"))
     )
+    if numbers is None:
+        return late.select("place", F.lit(None).cast("long").alias("h"), "late")
+    return late.join(numbers, "place").select(F.col("doc_id").alias("place"), "h", "late")
+
+
+def _with_late(docs: DataFrame, late: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with what is late of their texts, in a column whose name they don't have."""
+    tag = free_name(docs.columns, "foldscape_")
+    late = late.select(*[F.col(c).alias(tag + c) for c in late.columns]).hint("shuffle_hash")
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(late, (F.col("doc_id") == F.col(f"{tag}place")) & (F.col(f"{tag}h").isNull() | (F.col(f"{tag}h") == own)), "left").drop(f"{tag}place", f"{tag}h"), f"{tag}late"
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of every row of `docs` that has a doc_id."""
     texts = texts_of(docs)
-    return texts.join(repeats(texts).hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cleaned, _CLEANED_DDL)
+    joined, name = _with_late(texts, repeats(texts))
+    return joined.withColumnRenamed(name, "late").mapInArrow(_cleaned, _CLEANED_DDL)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -389,16 +422,16 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     A cut may fall inside a character; the bytes that are left of it go too. Texts
     that lose nothing, nulls among them, and rows without a doc_id stay as they are.
     """
-    late = repeats(texts_of(docs)).withColumnRenamed("late", "foldscape_late").where("length(foldscape_late) > 0")
-    joined = docs.join(late.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "foldscape_late")
-    names = docs.columns
+    plain = undotted(docs)
+    names = plain.columns
+    joined, late = _with_late(plain, repeats(texts_of(docs)).where("length(late) > 0"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches):
             texts, ids = pc.fill_null(t["text"], ""), pc.fill_null(t["doc_id"], 0).cast(pa.int64())
-            once = pa.table({"doc_id": ids, "text": texts, "late": t["foldscape_late"]})
+            once = pa.table({"doc_id": ids, "text": texts, "late": t[late]})
             kept = next(_cleaned(iter(once.combine_chunks().to_batches())))["kept"].to_pylist()
-            lost = pc.is_valid(t["foldscape_late"]).to_pylist()
+            lost = pc.is_valid(t[late]).to_pylist()
             left = [k.decode("utf-8", "ignore") if x else o for k, x, o in zip(kept, lost, t["text"].to_pylist(), strict=True)]
             out = t.select(names).set_column(names.index("text"), "text", pa.array(left, pa.string()))
             if "n_chars" in names:
@@ -407,7 +440,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 out = out.set_column(at, "n_chars", pa.array(n, t.schema.field("n_chars").type))
             yield from out.to_batches()
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.select(*names, late).mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
