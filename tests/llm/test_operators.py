@@ -89,6 +89,17 @@ def test_exact_dedup(docs, rows):
         assert r["text_sha256"] == hashlib.sha256(norm(t).encode()).hexdigest()
 
 
+def test_exact_dedup_of_hot_texts_in_two_steps(spark, docs, rows, monkeypatch):
+    """One row a chunk and few representatives a task: the same result by the way that hot digests take."""
+    want = {i: tuple(r) for i, r in got(exact_dedup.exact_dedup(docs)).items()}
+    monkeypatch.setattr(exact_dedup, "HOT", 0)
+    real = exact_dedup.chunks
+    monkeypatch.setattr(exact_dedup, "chunks", lambda batches, limit: real(batches, 1))
+    assert {i: tuple(r) for i, r in got(exact_dedup.exact_dedup(docs)).items()} == want
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", 0)
+    assert {i: tuple(r) for i, r in got(exact_dedup.exact_dedup(docs)).items()} == want
+
+
 def test_names_tell_blocks_from_padding():
     texts = [b"", b"\0", b"\0\0", b"a", b"a" * 128, b"a" * 129, b"a" * 128 + b"\0", b"a" * 400, b"a" * 400, b"b" * 400, b"a" * 399 + b"b", b"\0" * 128]
     name = exact_dedup.names(texts)
@@ -119,16 +130,18 @@ def test_quality_base_counts_and_verdict(spark, docs, rows):
     found = got(quality.quality(docs, labels))
     target = {i for k, (i, _) in enumerate(rows) if k % 3 == 0}
     raw, good = Counter(), Counter()
+    bits = quality.bits_for(sum(len((t or "").encode()) for _, t in rows))
+    assert bits == quality.LEAST_BITS and quality.bits_for(10**9) == 18 and quality.bits_for(10**15) == quality.MOST_BITS
 
     def grams(text):
         data = np.frombuffer((text or "").encode(), np.uint8)
-        return quality.buckets(data, np.array([0, len(data)]))[0].tolist()
+        return quality.buckets(data, np.array([0, len(data)]), bits)[0].tolist()
 
     for i, t in rows:
         raw.update(grams(t))
         if i in target:
             good.update(grams(t))
-    n_raw, n_good, b = sum(raw.values()), sum(good.values()), quality.BUCKETS
+    n_raw, n_good, b = sum(raw.values()), sum(good.values()), 1 << bits
     for i, t in rows:
         want = slow_base(t)
         r = found[i]
@@ -138,7 +151,7 @@ def test_quality_base_counts_and_verdict(spark, docs, rows):
         logs = [math.log((good[g] + b * (raw[g] + 1) / (n_raw + b)) / (n_good + b)) - math.log((raw[g] + 1) / (n_raw + b)) for g in own]
         score = sum(logs) / max(1, len(own))
         assert r["score"] == pytest.approx(score, abs=1e-6)
-        assert r["base_failed"] == failed and r["kept"] == (not failed and r["score"] >= quality.THRESHOLD)
+        assert r["base_failed"] == failed and r["kept"] == (not failed and r["held_score"] >= quality.THRESHOLD)
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
@@ -396,6 +409,33 @@ def test_suffix_dedup(spark, seed):
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for i, r in found.items()} == want
 
 
+def test_suffix_dedup_with_several_texts_of_an_id(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=150))
+    own = lambda: "".join(rng.choices("abcdefgh ", k=rng.randint(0, 90)))
+    rows = [(1, own() + passage), (2, own() + passage + own()), (2, "short"), (2, passage + own()), (5, own()), (5, None), (7, passage)]
+    docs = frame(spark, rows)
+    found = suffix_dedup.remove_repeats(docs).collect()
+    assert len(found) == len(rows)
+    assert all(r["n_bytes"] - r["n_removed"] == len(r["kept"]) for r in found)
+    gone = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in found}
+    want = {(i, len((t or "").encode())): 150 if t and passage in t and i > 1 else 0 for i, t in rows}
+    assert gone.keys() == want.keys() and all(want[k] <= n <= want[k] + 20 for k, n in gone.items())
+    cut = suffix_dedup.cut_repeats(docs).collect()
+    assert sorted(len((r["text"] or "").encode()) for r in cut) == sorted(r["n_bytes"] - r["n_removed"] for r in found)
+
+
+def test_stages_keep_columns_whatever_their_names(spark, rows):
+    """Names that the operators use themselves, or that Spark gives to what a reader knows of files."""
+    odd = ["_metadata", "foldscape_late", "foldscape0_late", "Foldscape1_x", "place", "late", "h", "copies", "_text_hash", "key.with.dots", "column_0", "back`tick", "part", "a"]
+    docs = frame(spark, rows).drop("part", "late", "key").select("*", *[F.lit(i).alias(c) for i, c in enumerate(odd)])
+    labels = spark.createDataFrame([(rows[0][0], 1, 0)], "doc_id long, quality int, toxic int")
+    for kept in (quality.keep_good(docs, labels, -9.0), exact_dedup.drop_copies(docs), jaccard_join.drop_near_copies(docs), suffix_dedup.cut_repeats(docs)):
+        assert kept.columns == docs.columns
+        out = kept.collect()
+        assert out and all([r[c] for c in odd] == list(range(len(odd))) for r in out)
+
+
 def test_suffix_dedup_spread_window_by_window(monkeypatch):
     """Anchors with many variants: the same verdicts when their windows are dealt out one by one."""
     rng = random.Random(5)
