@@ -98,6 +98,8 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("-a", "--alpha", type=float, default=0.5)
     v.add_argument("-mm", "--min-max", action="store_true")
     v.add_argument("-pr", "--plot-rho", action="store_true")
+    v.add_argument("-fs", "--figure-size", nargs=2, type=float)
+    v.add_argument("-xl", "--x-limits", nargs=2, type=float)
     return top
 
 
@@ -154,13 +156,14 @@ def main(argv: list[str] | None = None) -> DataFrame:
         epsilon = args.epsilon if args.epsilon in ("bgh", "bgh_generous") else float(args.epsilon)
         how = {
             "features": features, "exclude": cfg.exclude, "lib": as_ranges(cfg.lib), "pred": as_ranges(cfg.pred), "tp": cfg.tp, "e": cfg.e, "tau": cfg.tau,
-            "radius": cfg.exclusion_radius, "components": args.components, "k": args.neighbors, "epsilon": epsilon, "alpha": args.alpha, "scale": args.min_max,
+            "radius": cfg.exclusion_radius, "components": args.components, "k": args.neighbors, "epsilon": epsilon, "alpha": args.alpha,
         }
         out = compare(df, cfg.target, args.columns, **how)
         if cfg.out_csv:
             out.toPandas().to_csv(cfg.out_csv, index=False)
         if cfg.plot:
-            sinks.plot_forecasts(forecasts(df, cfg.target, args.columns, **how), out, "rho" if args.plot_rho else "cae", _file(cfg, "evaluate.png"))
+            shown = forecasts(df, cfg.target, args.columns, **how)
+            sinks.plot_forecasts(shown, out, "rho" if args.plot_rho else "cae", _file(cfg, "evaluate.png"), args.min_max, args.figure_size, args.x_limits)
     for row in out.collect():
         log.info("%s", row.asDict())
     return out

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldscape.functions.stats import pearson
-from foldscape.operators.neighbors import eligible, library, nearest, predicted
+from foldscape.operators.blocks import block_embeddings
+from foldscape.operators.neighbors import RELATIONAL_PAIRS, eligible, library, nearest, predicted
 from foldscape.operators.panel import ROW, lags, lead
 from foldscape.operators.simplex import project
+from foldscape.plans.cost import strategy
 
 
-def embed_dimension(df: DataFrame, column: str, target: str, lib, pred, max_e: int = 15, tp: int = 1, tau: int = -1, radius: int = 0, tail: str = "keep") -> DataFrame:
+def embed_dimension(df: DataFrame, column: str, target: str, lib, pred, max_e: int = 15, tp: int = 1, tau: int = -1, radius: int = 0, tail: str = "keep", plan: str | None = None) -> DataFrame:
     """e and rho for e = 1 … max_e, in one job: distances for all e are running sums over lags."""
+    if (plan or strategy(max_e, lib, pred, RELATIONAL_PAIRS)) == "vectorised":
+        each = block_embeddings(df, column, target, lib, pred, max_e, tp, tau, radius, tail)
+        return each.groupBy("e").agg(pearson(F.col("obs"), F.col("pred")).alias("rho"))
     embedded = lags(df, [column], max_e, tau)
     arrays = embedded.select(ROW, F.array(*[F.col(f"`{column}(t-{k})`") for k in range(max_e)]).alias("x"))
     inner = library(df, target, lib, tp, tail).select(ROW, "_y").join(arrays, ROW).select(F.col(ROW).alias("l"), F.col("_y").alias("y"), F.col("x").alias("xl"))

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldscape.config import as_ranges
-from foldscape.functions.stats import metrics, minmax, ranges, reported
-from foldscape.operators.neighbors import pair_table
+from foldscape.functions.stats import metrics, ranges, reported
+from foldscape.operators.blocks import block_neighbors
+from foldscape.operators.neighbors import RELATIONAL_PAIRS, nearest, pair_table
 from foldscape.operators.panel import ROW, numeric, variables
 from foldscape.operators.simplex import simplex
+from foldscape.plans.cost import strategy
 
 log = logging.getLogger("foldscape")
 
@@ -101,51 +103,59 @@ class DiffusionMap:
         return w.groupBy(F.col("p").alias(ROW)).agg(*means)
 
 
-def neighbor_table(lib: DataFrame, pred: DataFrame, features: list[str], k: int, itself: bool = False) -> DataFrame:
+def neighbor_table(lib: DataFrame, pred: DataFrame, features: list[str], k: int, itself: bool = False, plan: str | None = None) -> DataFrame:
     """p, l and d2 of the k nearest library rows of every row, in the space of the features; optionally each row itself too."""
-    from foldscape.operators.neighbors import nearest
-
-    found = nearest(pair_table(lib.withColumn("_y", F.lit(0.0)), pred, features, [], 0), [], k).select("p", "l", "d2")
+    known = lib.withColumn("_y", F.lit(0.0))
+    if (plan or strategy(1, ((1, lib.count()),), ((1, pred.count()),), RELATIONAL_PAIRS)) == "vectorised":
+        found = block_neighbors(known, pred, features, 0, k).select("p", "l", "d2")
+    else:
+        found = nearest(pair_table(known, pred, features, [], 0), [], k).select("p", "l", "d2")
     if itself:
         same = pred.select(F.col(ROW).alias("p")).join(lib.select(F.col(ROW).alias("l")), F.col("p") == F.col("l")).select("p", "l", F.lit(0.0).alias("d2"))
         found = found.unionByName(same)
     return found
 
 
-def compare(
-    df: DataFrame, target: str, columns: list[str], *, features: list[str] | None = None, exclude=(), lib=(), pred=(), tp: int = 0, e: int = 0, tau: int = -1,
-    radius: int = 0, components: int = 5, k: int = 15, epsilon="bgh", alpha: float = 0.5, scale: bool = False,
-) -> DataFrame:
-    """method, cae, rmse, rho and r2 of simplex on `columns`, and of regressions on PCA and diffusion coordinates of `features`."""
+METHODS = ("simplex", "pca", "diffusion")
+
+
+def compare(df: DataFrame, target: str, columns: list[str], *, methods=METHODS, **how) -> DataFrame:
+    """method, cae, rmse, rho and r2 of simplex on `columns`, and of regressions on PCA and diffusion coordinates of `features`.
+
+    Metrics are of the values as they are; only a plot of them is scaled. `how`: as for forecasts().
+    """
     if not columns:
         raise ValueError("columns are required")
     out = None
-    for method, forecast in forecasts(df, target, columns, features=features, exclude=exclude, lib=lib, pred=pred, tp=tp, e=e, tau=tau, radius=radius, components=components, k=k, epsilon=epsilon, alpha=alpha, scale=scale).items():
+    for method, forecast in forecasts(df, target, columns, methods=methods, **how).items():
         one = reported(forecast.agg(*metrics())).select(F.lit(method).alias("method"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def forecasts(df: DataFrame, target: str, columns: list[str], *, features=None, exclude=(), lib=(), pred=(), tp=0, e=0, tau=-1, radius=0, components=5, k=15, epsilon="bgh", alpha=0.5, scale=False) -> dict[str, DataFrame]:
-    """row_id, obs and pred by each of the three methods; what a plot of the comparison shows."""
+def forecasts(
+    df: DataFrame, target: str, columns: list[str], *, methods=METHODS, features: list[str] | None = None, exclude=(), lib=(), pred=(), tp: int = 0, e: int = 0,
+    tau: int = -1, radius: int = 0, components: int = 5, k: int = 15, epsilon="bgh", alpha: float = 0.5,
+) -> dict[str, DataFrame]:
+    """row_id, obs and pred by each of the methods; what a plot of the comparison shows."""
     names = variables(df)
     features = [f for f in (features or [c for c in names if c != target]) if f not in set(exclude)]
     panel = numeric(df, names)
     n = panel.count()
     lib, pred = as_ranges(lib) or ((1, n),), as_ranges(pred) or ((1, n),)
-    if scale:
-        panel = minmax(panel, names)
-    own = simplex(panel, columns, target, lib, pred, tp, radius, e, tau).select(ROW, "obs", "pred")
-    if scale:
-        own = minmax(own, ["obs", "pred"])
     train, test = panel.where(ranges(F.col(ROW), lib)), panel.where(ranges(F.col(ROW), pred))
-    a, b, explained = pca_scores(train, test, features, min(components, len(features)))
-    log.info("explained variance: %s", [round(v, 4) for v in explained])
     y = panel.select(ROW, f"`{target}`")
-    coordinates = [c for c in a.columns if c != ROW]
-    by_pca = linear(a.join(y, ROW), b.join(y, ROW), coordinates, target)
-    full = train.dropna(subset=features)
-    maps = DiffusionMap(k, components, epsilon, alpha).fit(full, features)
-    coordinates = [f"c{i}" for i in range(len(maps.values))]
-    by_map = linear(maps.coordinates(full).join(y, ROW), maps.coordinates(test.dropna(subset=features)).join(y, ROW), coordinates, target)
-    return {"simplex": own, "pca": by_pca, "diffusion": by_map}
+    out = {}
+    if "simplex" in methods:
+        out["simplex"] = simplex(panel, columns, target, lib, pred, tp, radius, e, tau).select(ROW, "obs", "pred")
+    if "pca" in methods:
+        a, b, explained = pca_scores(train, test, features, min(components, len(features)))
+        log.info("explained variance: %s", [round(v, 4) for v in explained])
+        coordinates = [c for c in a.columns if c != ROW]
+        out["pca"] = linear(a.join(y, ROW), b.join(y, ROW), coordinates, target)
+    if "diffusion" in methods:
+        full = train.dropna(subset=features)
+        maps = DiffusionMap(k, components, epsilon, alpha).fit(full, features)
+        coordinates = [f"c{i}" for i in range(len(maps.values))]
+        out["diffusion"] = linear(maps.coordinates(full).join(y, ROW), maps.coordinates(test.dropna(subset=features)).join(y, ROW), coordinates, target)
+    return out

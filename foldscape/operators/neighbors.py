@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldscape.functions.stats import ranges
 from foldscape.operators.panel import ROW, lead
+from foldscape.plans.cost import strategy
 
 #: Pairs of rows (times candidates) up to which the relational plans are used; the nested loop's inner side is smaller still.
 RELATIONAL_PAIRS = 20_000_000
@@ -53,7 +54,13 @@ def nearest(pairs: DataFrame, by: list[str], k: Column | int) -> DataFrame:
     return ranked.withColumn("d", F.sqrt("d2")).withColumn("d_min", F.min("d").over(window))
 
 
-def knn(df: DataFrame, columns: list[str], target: str, lib, pred, tp: int = 1, radius: int = 0, k: int | None = None, tail: str = "keep") -> DataFrame:
+def knn(
+    df: DataFrame, columns: list[str], target: str, lib, pred, tp: int = 1, radius: int = 0, k: int | None = None, tail: str = "keep", plan: str | None = None
+) -> DataFrame:
     """p, l, y, d2, rank, d, d_min of the k (by default one more than there are columns) nearest neighbours."""
-    pairs = pair_table(library(df, target, lib, tp, tail), predicted(df, pred), columns, [], radius).drop("xp", "xl")
-    return nearest(pairs, [], k or len(columns) + 1)
+    k = k or len(columns) + 1
+    if (plan or strategy(1, lib, pred, RELATIONAL_PAIRS)) == "vectorised":
+        from foldscape.operators.blocks import block_neighbors
+
+        return nearest(block_neighbors(library(df, target, lib, tp, tail), predicted(df, pred), columns, radius, k), [], k)
+    return nearest(pair_table(library(df, target, lib, tp, tail), predicted(df, pred), columns, [], radius).drop("xp", "xl"), [], k)

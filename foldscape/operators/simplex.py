@@ -20,7 +20,7 @@ def project(neighbors: DataFrame, by: list[str]) -> DataFrame:
     return mean.select(*by, "p", "pred", F.try_divide(spread, total).alias("pred_var"))
 
 
-def simplex(df: DataFrame, columns: list[str], target: str, lib, pred, tp: int = 1, radius: int = 0, e: int = 0, tau: int = -1, tail: str = "keep") -> DataFrame:
+def simplex(df: DataFrame, columns: list[str], target: str, lib, pred, tp: int = 1, radius: int = 0, e: int = 0, tau: int = -1, tail: str = "keep", plan: str | None = None) -> DataFrame:
     """row_id, obs, pred and pred_var: rows are those predicted, moved by tp, from the first one predicted on.
 
     With e = 0 the columns are the state space; with e > 1 each column is first
@@ -31,7 +31,7 @@ def simplex(df: DataFrame, columns: list[str], target: str, lib, pred, tp: int =
     if e > 1:
         df = with_lags(df, columns, e - 1, tau)
         space = [n for c in columns for n in (c, *[f"{c}(t-{k})" for k in range(1, e)])]
-    found = project(knn(df, space, target, lib, pred, tp, radius, tail=tail), []).select((F.col("p") + tp).alias(ROW), "pred", "pred_var")
+    found = project(knn(df, space, target, lib, pred, tp, radius, tail=tail, plan=plan), []).select((F.col("p") + tp).alias(ROW), "pred", "pred_var")
     rows = df.select(ROW).where(_reach(pred, tp))
     every = rows.union(found.select(ROW)).distinct()
     return every.join(lead(df, target, 0, "obs"), ROW, "left").join(found, ROW, "left").select(ROW, "obs", "pred", "pred_var")

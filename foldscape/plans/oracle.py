@@ -90,18 +90,77 @@ def _vectors(dims: int) -> str:
 _RHO = f"SELECT variable, round(rho, 6) AS rho FROM swept WHERE rho > -1.0 ORDER BY 2 DESC, {_order(OTHERS)}"
 
 
-def _two(names: list[str]) -> str:
+def _two(names: list[str], before: str = "", where: str = "rho > -1.0") -> str:
     """CTEs win and second: the best of `names`, and the best of the others together with it."""
-    best = lambda tag: f"SELECT variable, rho FROM swept{tag} WHERE rho > -1.0 ORDER BY rho DESC, {_order(OTHERS)} LIMIT 1"
+    best = lambda tag: f"SELECT variable, rho FROM swept{tag} WHERE {where} ORDER BY rho DESC, {_order(OTHERS)} LIMIT 1"
     joins = (
         "JOIN win ON true JOIN long c ON c.row_id = p.row_id AND c.variable = win.variable "
         "JOIN long d ON d.row_id = l.row_id AND d.variable = win.variable AND a.variable <> win.variable"
     )
     return (
-        _SMOOTH + _LONG + _sweep(names) + f",\nwin AS ({best('')})" + _sweep(names, "(c.value - d.value) * (c.value - d.value)", joins, "2", 3) + f",\nsecond AS ({best('2')})"
+        _SMOOTH + _LONG + _sweep(names) + before + f",\nwin AS ({best('')})" + _sweep(names, "(c.value - d.value) * (c.value - d.value)", joins, "2", 3) + f",\nsecond AS ({best('2')})"
     )
 
 
+def _third() -> str:
+    """CTE third, after _two(OTHERS)."""
+    joins = (
+        "JOIN win ON true JOIN second ON true JOIN long c ON c.row_id = p.row_id AND c.variable = win.variable JOIN long d ON d.row_id = l.row_id AND d.variable = win.variable "
+        "JOIN long e ON e.row_id = p.row_id AND e.variable = second.variable JOIN long f ON f.row_id = l.row_id AND f.variable = second.variable "
+        "AND a.variable NOT IN (win.variable, second.variable)"
+    )
+    swept = _sweep(OTHERS, "(c.value - d.value) * (c.value - d.value) + (e.value - f.value) * (e.value - f.value)", joins, "3", 4)
+    return swept + f",\nthird AS (SELECT variable, rho FROM swept3 WHERE rho > -1.0 ORDER BY rho DESC, {_order(OTHERS)} LIMIT 1)"
+
+
+def _delayed(column: str) -> str:
+    """Skill of the winner's column with two lags of a column of `wide` (x: the winner's)."""
+    ctes = f"lagged AS (SELECT row_id, {TARGET}, x, lag({column}, 1) OVER (ORDER BY row_id) AS d1, lag({column}, 2) OVER (ORDER BY row_id) AS d2 FROM wide)"
+    return f"(WITH {ctes}{_near(['x', 'd1', 'd2'], 4, panel='lagged')} SELECT corr(o.{TARGET}, pred) FROM forecast f JOIN smooth o ON o.row_id = f.p + 1)"
+
+
+def _gates(max_e: int, percents, sample: int) -> str:
+    """CTE gate (variable, e, rho, slope): embedding dimension and convergence slope of every candidate."""
+    some = ", ".join(f"'{c}'" for c in OTHERS)
+    lagged = ", ".join(f"lag(value, {k}) OVER (PARTITION BY variable ORDER BY row_id) AS x{k}" for k in range(max_e))
+    each = "\nUNION ALL ".join(
+        f"SELECT p.variable, {e} AS e, p.row_id AS p, l.row_id AS l, y.{TARGET} AS y, {_square([f'x{k}' for k in range(e)])} AS d2 FROM glag p JOIN glag l ON p.variable = l.variable AND p.row_id <> l.row_id "
+        f"JOIN smooth y ON y.row_id = l.row_id + 1 WHERE {_HALVES[0]} AND {_HALVES[1]}" for e in range(1, max_e + 1)
+    )
+    used = " + ".join(f"CASE WHEN s.e > {k} THEN (p.x{k} - s.x{k}) * (p.x{k} - s.x{k}) ELSE 0.0 END" for k in range(max_e))
+    known = " AND ".join(f"(g.e <= {k} OR t.x{k} IS NOT NULL)" for k in range(max_e))
+    return f""",
+glag AS (SELECT variable, row_id, {lagged} FROM long),
+gpairs AS ({each}),
+gnear AS (SELECT *, row_number() OVER (PARTITION BY variable, e, p ORDER BY d2, l) AS rank FROM gpairs WHERE d2 IS NOT NULL AND variable IN ({some}) QUALIFY rank <= e + 1),
+gw AS (SELECT *, {_WEIGHT} AS w FROM (SELECT variable, e, p, y, sqrt(d2) AS d, min(sqrt(d2)) OVER (PARTITION BY variable, e, p) AS m FROM gnear)),
+gfc AS (SELECT variable, e, p, sum(w * y) / sum(w) AS pred FROM gw GROUP BY ALL),
+gcurve AS (SELECT variable, e, corr(o.{TARGET}, pred) AS rho FROM gfc c JOIN smooth o ON o.row_id = c.p + 1 GROUP BY ALL),
+gbest AS (SELECT variable, e, round(rho, 4) AS rho FROM gcurve WHERE rho IS NOT NULL QUALIFY row_number() OVER (PARTITION BY variable ORDER BY round(rho, 4) DESC, e) = 1),
+cspace AS (  -- the target's lags, as many as the candidate's dimension, and the candidate one row later
+  SELECT g.variable, g.e, t.row_id, {', '.join(f't.x{k}' for k in range(max_e))}, y.value AS y
+  FROM gbest g JOIN glag t ON t.variable = '{TARGET}' JOIN long y ON y.variable = g.variable AND y.row_id = t.row_id + 1 WHERE {known}
+),
+csizes AS (SELECT CAST(floor(c * unnest([{', '.join(map(str, percents))}]) / 100) AS INTEGER) AS size FROM (SELECT count(*) AS c FROM smooth)),
+cdrawn AS (
+  SELECT variable, size, draw, row_id AS l FROM cspace, csizes, (SELECT unnest(range({sample})) AS draw) WHERE y IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY variable, size, draw ORDER BY md5('0/' || size || '/' || draw || '/' || row_id), row_id) <= size
+),
+cpairs AS (
+  SELECT d.variable, s.e, d.size, d.draw, p.row_id AS p, d.l, s.y, {used} AS d2
+  FROM cdrawn d JOIN cspace s ON s.variable = d.variable AND s.row_id = d.l JOIN cspace p ON p.variable = d.variable AND p.row_id <> d.l
+),
+cnear AS (SELECT *, row_number() OVER (PARTITION BY variable, size, draw, p ORDER BY d2, l) AS rank FROM cpairs QUALIFY rank <= e + 1),
+cw AS (SELECT *, {_WEIGHT} AS w FROM (SELECT variable, size, draw, p, y, sqrt(d2) AS d, min(sqrt(d2)) OVER (PARTITION BY variable, size, draw, p) AS m FROM cnear)),
+cfc AS (SELECT variable, size, draw, p, sum(w * y) / sum(w) AS pred FROM cw GROUP BY ALL),
+ceach AS (SELECT c.variable, size, draw, corr(o.y, pred) AS rho FROM cfc c JOIN cspace o ON o.variable = c.variable AND o.row_id = c.p GROUP BY ALL),
+ccurve AS (SELECT variable, size, avg(rho) AS rho FROM ceach GROUP BY ALL),
+gate AS (
+  SELECT variable, g.e, g.rho, coalesce(slope, 0.0) AS slope
+  FROM gbest g LEFT JOIN (SELECT variable, round(regr_slope(coalesce(c.rho, 0.0), size / s.c), 5) AS slope FROM ccurve c, (SELECT count(*) AS c FROM smooth) s GROUP BY variable) USING (variable)
+)"""
+
+
 _TWO = _two(OTHERS)
 _CHOSEN = "SELECT 1 AS dim, variable, round(rho, 6) AS rho FROM win UNION ALL SELECT 2, variable, round(rho, 6) FROM second"
 _PASSING = [a for a, b, s in SLOPES if b == TARGET and s is not None and s > 0.01]
@@ -222,6 +281,40 @@ SQL = {
         _SMOOTH + _edim(4),
         "SELECT e, round(rho, 6) AS rho FROM (SELECT *, round(rho, 4) AS r, lag(round(rho, 4)) OVER (ORDER BY e) AS a, lead(round(rho, 4)) OVER (ORDER BY e) AS b FROM curve) ORDER BY coalesce(r > a AND r > b, false) DESC, CASE WHEN coalesce(r > a AND r > b, false) THEN e ELSE -e END LIMIT 1",
     ),
+    "best_dimension": _q(
+        _TWO + _third(),
+        "SELECT CAST(dim AS INTEGER) AS dim FROM (SELECT 1 AS dim, rho FROM win UNION ALL SELECT 2, rho FROM second UNION ALL SELECT 3, rho FROM third) ORDER BY round(rho, 4) DESC, dim LIMIT 1",
+    ),
+    "time_delays": _q(
+        _TWO + f",\nwide AS (SELECT s.row_id, s.{TARGET}, v.value AS x FROM smooth s JOIN long v USING (row_id) JOIN win USING (variable))",
+        f"SELECT '{TARGET}' AS eval_column, 2 AS delays, round({_delayed(TARGET)}, 6) AS rho UNION ALL SELECT variable, 2, round({_delayed('x')}, 6) FROM win",
+    ),
+    "edim_map": _q(
+        _SMOOTH + _LONG + _sweep(OTHERS) + _gates(4, (10, 30, 90), 3) + f""",
+ranks AS (
+  SELECT variable, g.e, g.rho, g.rho >= 0.0 AND slope > 0.0 AS passes, row_number() OVER (ORDER BY s.rho DESC, {_order(OTHERS)}) AS rank
+  FROM swept s JOIN gate g USING (variable) WHERE s.rho > 0.0
+)""",
+        f"SELECT variable, '{TARGET}' AS target, e, rho, passes AS accepted FROM ranks WHERE rho >= 0.0 AND rank <= coalesce((SELECT min(rank) FROM ranks WHERE passes), 99)",
+    ),
+    "greedy_expand_gated": _q(
+        _two(OTHERS, _gates(4, (10, 30, 60, 90), 5), "rho > 0.0 AND variable IN (SELECT variable FROM gate WHERE rho >= 0.0 AND slope > 0.0)"), _CHOSEN
+    ),
+    "embed_dimension_blocks": _q(_SMOOTH + _edim(4), "SELECT e, round(rho, 6) AS rho FROM curve"),
+    "evaluate_simplex": _q(
+        _SIM2, f"SELECT 'simplex' AS method, round(cae, 2) AS cae, round(rmse, 3) AS rmse, round(rho, 3) AS rho, round(round(rho, 3) * round(rho, 3), 3) AS r2 FROM (SELECT {_METRIC} FROM aligned)"
+    ),
+    "evaluate_pca": _q(
+        _SMOOTH + """,
+moments AS (
+  SELECT avg(n_orders) AS mx, avg(n_lines) AS my, var_samp(n_orders) AS sxx, var_samp(n_lines) AS syy, covar_samp(n_orders, n_lines) AS sxy FROM smooth, n WHERE row_id <= half
+),
+axis AS (SELECT *, (sxx + syy) / 2 + sqrt((sxx - syy) * (sxx - syy) / 4 + sxy * sxy) - sxx AS along FROM moments),
+scores AS (SELECT row_id, revenue AS obs, (sxy * (n_orders - mx) + along * (n_lines - my)) / sqrt(sxy * sxy + along * along) AS c FROM smooth, axis),
+line AS (SELECT regr_slope(obs, c) AS b, regr_intercept(obs, c) AS a FROM scores, n WHERE row_id <= half),
+aligned AS (SELECT row_id, obs, a + b * c AS pred FROM scores, line, n WHERE row_id > half)""",
+        f"SELECT 'pca' AS method, round(cae, 2) AS cae, round(rmse, 3) AS rmse, round(rho, 3) AS rho, round(round(rho, 3) * round(rho, 3), 3) AS r2 FROM (SELECT {_METRIC} FROM aligned)",
+    ),
     "library_draws": _q(_SMOOTH + "," + _draws("smooth", (20, 80), 2, 7), "SELECT size, draw, l FROM drawn"),
     "ccm_curve": _q(_CCM, "SELECT size, round(rho, 6) AS rho FROM curve"),
     "ccm_curve_blocks": _q(_CCM, "SELECT size, round(rho, 6) AS rho FROM curve"),
@@ -233,17 +326,15 @@ SQL = {
     "driver_graph": "WITH " + _graph() + "\nSELECT w.target, b.driver, 1 AS rank, round(b.rho, 6) AS rho FROM walk w JOIN best b USING (target)",
     "driver_nodes": "WITH " + _graph() + "\nSELECT target, depth, parent, depth AS visit_order FROM walk",
     "seeded_graph": "SELECT * FROM (VALUES ('revenue', 'qty', 1, CAST(NULL AS DOUBLE)), ('revenue', 'ext', 2, NULL)) t(target, driver, rank, rho)",
-    "embedding_knn": _q(
-        _vectors(4) + _near(["e0", "e1"], 3, panel="vectors", target="e3", lib="l.row_id <= 300", pred="p.row_id BETWEEN 301 AND 400"), "SELECT p, l, rank, round(d, 6) AS d FROM near"
-    ),
+    "embedding_knn": _q(_vectors(4) + _near(["e0", "e1"], 3, panel="vectors", target="e3"), "SELECT p, l, rank, round(d, 6) AS d FROM near"),
+    "embedding_knn_blocks": _q(_vectors(4) + _near(["e0", "e1"], 3, panel="vectors", target="e3"), "SELECT p, l, rank, round(d, 6) AS d FROM near"),
     "embedding_crossmap": _q(
-        _vectors(8) + _sweep([f"e{i}" for i in range(2, 8)], _square(["e1"]), k=3, panel="vectors", target="e0", lib="l.row_id <= 250", pred="p.row_id BETWEEN 251 AND 500"),
-        "SELECT variable, round(rho, 6) AS rho FROM swept",
+        _vectors(8) + _sweep([f"e{i}" for i in range(2, 8)], _square(["e1"]), k=3, panel="vectors", target="e0"), "SELECT variable, round(rho, 6) AS rho FROM swept"
     ),
     "embedding_wide": _q(_vectors(64) + _sweep([f"e{i}" for i in range(1, 64)], panel="vectors", target="e0"), "SELECT variable, round(rho, 6) AS rho FROM swept"),
     "hourly_sweep": _q(
-        _HOURLY + ",\nlong AS (" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS variable, {c} AS value FROM hourly" for c in ("n_view", "v_view", "v_error")) + ")"
-        + _sweep(["n_view", "v_view", "v_error"], panel="hourly", target="n_click", lib="l.row_id <= 360", pred="p.row_id BETWEEN 361 AND 720", radius=2),
+        _HOURLY + ",\nn AS (SELECT count(*) // 2 AS half FROM hourly),\nlong AS (" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS variable, {c} AS value FROM hourly" for c in ("n_view", "v_view", "v_error")) + ")"
+        + _sweep(["n_view", "v_view", "v_error"], panel="hourly", target="n_click", radius=2),
         "SELECT variable, round(rho, 6) AS rho FROM swept",
     ),
     "minmax_scale": _q(_SMOOTH, "SELECT row_id, " + ", ".join(f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 6) AS {c}" for c in ("revenue", "qty")) + ", 0.0::DOUBLE AS flat FROM smooth"),

@@ -176,7 +176,8 @@ def top_ranked(spark, sf_dir):
 
 
 def greedy_expand_gated(spark, sf_dir):
-    return _selected(spark, sf_dir, max_dim=2, rho_min=0.0, embed_rho_min=0.0, max_e=4, sample=5, lib_percents=(10, 30, 60, 90), slope_min=0.0).selected
+    found = _selected(spark, sf_dir, max_dim=2, rho_min=0.0, embed_rho_min=0.0, max_e=4, sample=5, lib_percents=(10, 30, 60, 90), slope_min=0.0).selected
+    return _rounded(found, "rho")
 
 
 def edim_map(spark, sf_dir):
@@ -285,8 +286,23 @@ def seeded_graph(spark, sf_dir):
 
 
 def embedding_knn(spark, sf_dir):
+    """Over all vectors, half of them as library."""
     df = panel_embedding(spark, sf_dir, 4)
-    return _rounded(neighbors.knn(df, ["e0", "e1"], "e3", ((1, 300),), ((301, 400),)).select("p", "l", "rank", "d"), "d")
+    lib, pred = default_split(df.count())
+    return _rounded(neighbors.knn(df, ["e0", "e1"], "e3", lib, pred).select("p", "l", "rank", "d"), "d")
+
+
+def embedding_knn_blocks(spark, sf_dir):
+    """As embedding_knn, by the vectorised strategy."""
+    df = panel_embedding(spark, sf_dir, 4)
+    lib, pred = default_split(df.count())
+    return _rounded(neighbors.knn(df, ["e0", "e1"], "e3", lib, pred, plan="vectorised").select("p", "l", "rank", "d"), "d")
+
+
+def embed_dimension_blocks(spark, sf_dir):
+    """As embed_dimension, by the vectorised strategy."""
+    df, lib, pred = _smooth(spark, sf_dir)
+    return _rounded(embedding.embed_dimension(df, "n_orders", TARGET, lib, pred, 4, plan="vectorised"), "rho")
 
 
 def embedding_crossmap(spark, sf_dir):
@@ -349,7 +365,18 @@ def diffusion_evaluate(spark, sf_dir):
 
 def evaluate_compare(spark, sf_dir):
     df, lib, pred = _smooth(spark, sf_dir)
-    return evaluate.compare(df, TARGET, ["n_orders", "n_cust"], features=OTHERS, lib=lib, pred=pred, tp=1, components=2, k=10, scale=True)
+    return evaluate.compare(df, TARGET, ["n_orders", "n_cust"], features=OTHERS, lib=lib, pred=pred, tp=1, components=2, k=10)
+
+
+def evaluate_simplex(spark, sf_dir):
+    df, lib, pred = _smooth(spark, sf_dir)
+    return evaluate.compare(df, TARGET, ["n_orders", "n_cust"], methods=("simplex",), lib=lib, pred=pred, tp=1)
+
+
+def evaluate_pca(spark, sf_dir):
+    """One component of two features."""
+    df, lib, pred = _smooth(spark, sf_dir)
+    return evaluate.compare(df, TARGET, ["n_orders"], methods=("pca",), features=["n_orders", "n_lines"], lib=lib, pred=pred, components=1)
 
 
 def _all() -> dict:
@@ -360,6 +387,7 @@ def _all() -> dict:
         best_dimension, time_delays, embed_dimension, best_e, first_peak_e, library_draws, ccm_curve, ccm_curve_blocks, ccm_slope, slope_matrix_lookup,
         slope_matrix_wide, slope_matrix_long, passing_subset, expand_with_matrix, driver_graph, driver_nodes, seeded_graph, embedding_knn, embedding_crossmap,
         embedding_wide, hourly_sweep, minmax_scale, ols_single, linear_fit, best_per_half, pca_evaluate, diffusion_evaluate, evaluate_compare,
+        evaluate_simplex, evaluate_pca, embedding_knn_blocks, embed_dimension_blocks,
     ]
     return {"panel_weekly": panel_weekly, "panel_smooth": panel_smooth, "panel_hourly_dense": panel_hourly} | {f.__name__: f for f in own}
 

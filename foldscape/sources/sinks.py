@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import os
+import time
 import uuid
 from dataclasses import asdict
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldscape.config import ExpandConfig
+from foldscape.functions.stats import minmax
 from foldscape.operators.expand import ExpandResult
 from foldscape.operators.reverse import DriverGraph
 
@@ -65,20 +67,21 @@ def read_result(spark, path: str) -> tuple[ExpandConfig, dict[str, DataFrame]]:
 
 
 def write_graph(graph: DriverGraph, path: str) -> str:
-    """Nodes and edges (by target) as a new version below `path`; the marker that names it is replaced last."""
-    version = f"v-{uuid.uuid4().hex}"
+    """Nodes and edges (by target) as a new version below `path`, on any file system. Spark marks the edges, written last, once they are whole."""
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"
     graph.nodes.coalesce(1).write.parquet(f"{path}/{version}/nodes")
     graph.edges.coalesce(1).write.partitionBy("target").parquet(f"{path}/{version}/edges")
-    draft = os.path.join(path, f".{version}")
-    with open(draft, "w", encoding="utf-8") as f:
-        f.write(version)
-    os.replace(draft, os.path.join(path, "CURRENT"))
     return version
 
 
 def read_graph(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    with open(os.path.join(path, "CURRENT"), encoding="utf-8") as f:
-        version = f.read()
+    """The last version that is whole."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((s.getPath().getName() for s in fs.listStatus(to(path))), reverse=True)
+    version = next((v for v in found if v.startswith("v-") and fs.exists(to(f"{path}/{v}/edges/_SUCCESS"))), None)
+    if version is None:
+        raise ValueError(f"no whole graph below {path}")
     return spark.read.parquet(f"{path}/{version}/nodes"), spark.read.parquet(f"{path}/{version}/edges")
 
 
@@ -120,28 +123,31 @@ def plot_result(selected: DataFrame, title: str = "", path: str | None = None):
     return figure
 
 
-def plot_data(forecasts: dict[str, DataFrame]) -> DataFrame:
-    """method, row_id, obs and pred: the panels of an evaluation's plot."""
+def plot_data(forecasts: dict[str, DataFrame], scale: bool = False) -> DataFrame:
+    """method, row_id, obs and pred: the panels of an evaluation's plot, each series on [0, 1] if scaled."""
     out = None
     for method, f in forecasts.items():
-        one = f.select(F.lit(method).alias("method"), "row_id", "obs", "pred")
+        one = (minmax(f, ["obs", "pred"]) if scale else f).select(F.lit(method).alias("method"), "row_id", "obs", "pred")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def plot_forecasts(forecasts: dict[str, DataFrame], report: DataFrame, label: str = "cae", path: str | None = None):
+def plot_forecasts(forecasts: dict[str, DataFrame], report: DataFrame, label: str = "cae", path: str | None = None, scale: bool = False, figsize=None, xlim=None):
     """Observations, and a panel for each method that is labelled by its cae or rho."""
     import matplotlib.pyplot as plt
 
     scores = {r["method"]: r[label] for r in report.collect()}
-    figure, axes = plt.subplots(len(forecasts) + 1, 1, sharex=True)
-    for i, (method, f) in enumerate(forecasts.items()):
-        rows = f.orderBy("row_id").toPandas()
+    every = plot_data(forecasts, scale).orderBy("row_id").toPandas()
+    figure, axes = plt.subplots(len(forecasts) + 1, 1, sharex=True, figsize=figsize)
+    for i, method in enumerate(forecasts):
+        rows = every[every["method"] == method]
         if not i:
             axes[0].plot(rows["row_id"], rows["obs"])
             axes[0].set_title("observations")
         axes[i + 1].plot(rows["row_id"], rows["pred"])
         axes[i + 1].set_title(f"{method}: {label} {scores[method]}")
+    if xlim:
+        axes[-1].set_xlim(*xlim)
     if path:
         figure.savefig(path)
     return figure

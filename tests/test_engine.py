@@ -244,7 +244,7 @@ def test_diffusion_extension_agrees_on_its_own_rows(maps):
 
 
 def test_compare_reports_three_methods(maps):
-    rows = evaluate.compare(maps, "y", ["x"], lib=(1, 60), pred=(61, 120), tp=1, components=2, k=8, scale=True).collect()
+    rows = evaluate.compare(maps, "y", ["x"], lib=(1, 60), pred=(61, 120), tp=1, components=2, k=8).collect()
     assert [r["method"] for r in rows] == ["simplex", "pca", "diffusion"]
     with pytest.raises(ValueError):
         evaluate.compare(maps, "y", [])

@@ -9,6 +9,7 @@ from tests.oracle import same
 SOME = [
     "panel_weekly", "panel_smooth", "panel_hourly_dense", "lag_embed", "library_rows", "knn_excluded", "simplex_predict", "simplex_embedded", "cross_map_given",
     "cross_map_blocks", "greedy_rankings", "first_peak_e", "ccm_slope", "passing_subset", "driver_nodes", "embedding_crossmap", "hourly_sweep", "minmax_scale", "ols_single",
+    "best_dimension", "time_delays", "edim_map", "greedy_expand_gated", "evaluate_simplex", "evaluate_pca", "embedding_knn", "embedding_knn_blocks", "embed_dimension_blocks",
 ]
 
 
