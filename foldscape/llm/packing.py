@@ -13,8 +13,8 @@ Ranks are counted where pieces are made: in each task by length, then summed ove
 the tasks. The pieces are written once, as numbers; texts are never shuffled.
 
 Null and empty texts are the single end-of-document id. Every row with a doc_id
-is packed, repeated rows too; rows without a doc_id are left out. An empty table
-gives no rows. Ties between equal pieces go by scan order.
+is packed, repeated rows too; rows without a doc_id are left out, and columns beside
+doc_id and text are pruned. An empty table gives no rows. Ties between equal pieces go by scan order.
 """
 
 from __future__ import annotations
@@ -56,10 +56,10 @@ def tokenizer(path: str, end_id: int) -> tuple:
     special = [t["content"] for t in made["added_tokens"]]
     byte = _byte_of()
     ranks = {bytes(byte[c] for c in w): i for w, i in made["model"]["vocab"].items() if w not in special}
-    core = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    core = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [core.encode_single_piece(w.encode()) for w in words]
+        ids = [core.encode_ordinary(w) for w in words]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
 
