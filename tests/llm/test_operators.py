@@ -896,9 +896,54 @@ def test_repeated_rows_and_null_ids(spark, rows):
     assert d.where("piece = 0").count() == n
     docs = texts_of(twice)
     e = line_dedup.LineIndex().insert(docs).resolve(docs)
+    labels = spark.createDataFrame([(rows[0][0], 1, 1), (rows[1][0], 0, 0)], "doc_id long, quality int, toxic int")
+    scored = quality.quality(twice, labels).collect()
+    assert len(scored) == n and len({tuple(r) for r in scored}) == 25
+    judged = toxicity.toxicity(twice, toxicity.fit(docs, labels)).collect()
+    assert len(judged) == n and len({tuple(r) for r in judged}) == 25
     assert e.count() == n and bpe.encode_decode(twice, P.path("byte_bpe_50k.tiktoken")).count() == n
 
 
+def long_rows():
+    """Texts of 5 MB: of words, of one word a line, and a copy; and a word of 1 MB."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+    prose = " ".join(rng.choices(words, k=800_000))[:5_000_000]
+    return [(1, prose), (2, prose.replace(" ", "\n")), (3, "ab" * 500_000), (5, prose), (7, "short text"), (9, None)]
+
+
+def test_very_long_texts(spark):
+    """No operator fails on texts of megabytes, and what is easily known of the results holds."""
+    rows = long_rows()
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(1, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    size = {i: len((t or "").encode()) for i, t in rows}
+    exact = got(exact_dedup.exact_dedup(docs))
+    assert exact[5]["keep_id"] == 1 and exact[2]["keep_id"] == 1 and exact[3]["group_size"] == 1  # line breaks and spaces are one space
+    lines = got(line_dedup.LineIndex().insert(texts_of(docs)).resolve(texts_of(docs)))
+    assert lines[2]["n_lines"] == rows[1][1].count("\n") + 1 and lines[3]["n_dropped"] == 0
+    near = got(jaccard_join.jaccard_components(docs))
+    assert near[5]["component_id"] == near[2]["component_id"] == 1 and near[3]["component_id"] == 3
+    cut = got(suffix_dedup.remove_repeats(docs))
+    assert cut[5]["n_removed"] == size[5] and 0 < size[3] - cut[3]["n_removed"] < 200
+    coded = got(bpe.encode_decode(docs, P.path("byte_bpe_50k.tiktoken")))
+    assert all(len(coded[i]["decoded"]) == n for i, n in size.items())
+    packed = packing.pack(docs, P.path("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in packed} == {i: len(library_ids(t)) + 1 for i, t in rows}
+    good = got(quality.quality(docs, labels))
+    assert good[1]["n_words"] == len(rows[0][1].split()) and good[3]["word_chars"] == size[3] and good[9]["base_failed"]
+    assert toxicity.toxicity(docs, toxicity.fit(texts_of(docs), labels)).count() == len(rows)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    assert all(q(spark, str(tmp_path)).count() == 0 for q in (line_dedup.op3_line_index, shards.op8_size_tiered, quality.op4_llr_quality, toxicity.op7_folded_lexicon))
+
+
 def test_pipeline_matches_brute_force_stages(spark):
     """run() over the smallest table: each stage's decisions, made again without Spark from what it was given."""
     import corpus_pipeline as cp
