@@ -31,9 +31,9 @@ def draws(rows: DataFrame, sizes, sample: int, seed: int) -> DataFrame:
     return ranked.where("rank <= size").drop("rank")
 
 
-def ccm_curve(df: DataFrame, column: str, target: str, sizes, sample: int = 20, seed: int = 0, e: int = 1, tau: int = -1, tp: int = 0, radius: int = 0, plan: str | None = None) -> DataFrame:
-    """size and rho: mean skill of the column's e lags for the target, by library size."""
-    n = df.count()
+def ccm_curve(df: DataFrame, column: str, target: str, sizes, sample: int = 20, seed: int = 0, e: int = 1, tau: int = -1, tp: int = 0, radius: int = 0, plan: str | None = None, n: int | None = None) -> DataFrame:
+    """size and rho: mean skill of the column's e lags for the target, by library size. n: the panel's rows, if known."""
+    n = df.count() if n is None else n
     names = [f"{column}(t-{k})" for k in range(e)]
     space = lags(df, [column], e, tau).join(lead(df, target, tp, "y"), ROW).select(ROW, "y", F.array(*[F.col(f"`{c}`") for c in names]).alias("x"))
     space = space.where(F.forall("x", lambda v: v.isNotNull()))
@@ -89,10 +89,19 @@ def slope(curve: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     return ols(points, by, "r", "s").select(*by, F.round("slope", 5).alias("slope"))
 
 
-def slope_of(df: DataFrame, candidate: str, target: str, sizes, n: int, **how) -> float:
-    """Slope of the target's manifold predicting the candidate: the driven variable remembers its driver."""
-    found = slope(ccm_curve(df, target, candidate, sizes, **how), n).first()
-    return found["slope"] if found and found["slope"] is not None else 0.0
+def slopes_of(df: DataFrame, target: str, dimensions: dict[str, int], sizes, n: int, **how) -> dict[str, float]:
+    """Slope of the target's manifold predicting each candidate, in that many dimensions: the driven variable remembers its driver. One job."""
+    every = None
+    for name, e in dimensions.items():
+        one = slope(ccm_curve(df, target, name, sizes, e=e, n=n, **how), n).select(F.lit(name).alias("variable"), "slope")
+        every = one if every is None else every.unionByName(one)
+    found = {r["variable"]: r["slope"] for r in every.collect()} if every is not None else {}
+    return {name: found[name] if found.get(name) is not None else 0.0 for name in dimensions}
+
+
+def slope_of(df: DataFrame, candidate: str, target: str, sizes, n: int, e: int = 1, **how) -> float:
+    """The slope of one candidate."""
+    return slopes_of(df, target, {candidate: e}, sizes, n, **how)[candidate]
 
 
 def slope_table(matrix: DataFrame, orientation: str = "candidate_row") -> DataFrame:

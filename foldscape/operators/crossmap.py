@@ -26,6 +26,33 @@ def sweep_forecasts(df: DataFrame, base: list[str], names: list[str], target: st
     return found.select(naming.alias("variable"), "p", "obs", "pred")
 
 
+class Carried:
+    """Squared differences of every pair of rows in every variable, worked out once and held for all dimensions of an expansion.
+
+    A dimension's distances are those of the variables chosen before, carried on,
+    and a candidate's own. RELATIONAL_PAIRS bounds what is held: pairs times variables.
+    """
+
+    def __init__(self, df: DataFrame, names: list[str], target: str, lib, pred, tp: int, radius: int, tail: str = "keep"):
+        pairs = pair_table(library(df, target, lib, tp, tail), predicted(df, pred), [], names, radius)
+        self.held = pairs.select("p", "l", "y", F.zip_with("xp", "xl", lambda a, b: (a - b) * (a - b)).alias("steps")).persist()
+        self.names, self.obs = list(names), lead(df, target, tp, "obs").withColumnRenamed(ROW, "p")
+
+    def sweep(self, base: list[str], names: list[str]) -> DataFrame:
+        """As sweep(), for variables that are held."""
+        step = lambda c: F.col("steps")[self.names.index(c)]
+        d2 = F.lit(0.0)
+        for c in base:
+            d2 = d2 + step(c)
+        each = self.held.select("p", "l", "y", F.posexplode(F.array(*[d2 + step(c) for c in names])).alias("v", "d2"))
+        found = project(nearest(each, ["v"], len(base) + 2), ["v"]).join(self.obs, "p", "left")
+        rho = found.groupBy("v").agg(pearson(F.col("obs"), F.col("pred")).alias("rho"))
+        return rho.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("v") + 1).alias("variable"), (F.col("v") + 1).alias("ord"), "rho")
+
+    def release(self) -> None:
+        self.held.unpersist()
+
+
 def sweep(df: DataFrame, base: list[str], names: list[str], target: str, lib, pred, tp: int = 1, radius: int = 0, tail: str = "keep", plan: str | None = None) -> DataFrame:
     """variable, ord (its place in `names`) and rho, for every variable."""
     found = sweep_forecasts(df, base, names, target, lib, pred, tp, radius, tail, plan).groupBy("variable").agg(pearson(F.col("obs"), F.col("pred")).alias("rho"))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from foldscape.config import ExpandConfig
 from foldscape.functions.stats import pearson
 from foldscape.operators import causality, embedding
-from foldscape.operators.crossmap import sweep
+from foldscape.operators.crossmap import Carried, sweep
+from foldscape.operators.neighbors import RELATIONAL_PAIRS
 from foldscape.operators.panel import candidates, lags, numeric, variables
 from foldscape.operators.simplex import simplex
+from foldscape.plans.cost import strategy
 
 log = logging.getLogger("foldscape")
 
@@ -67,6 +69,10 @@ class ExpandResult:
         return min(self.rows, key=lambda r: (-round(r[2], 4), r[0]))[0] if self.rows else None
 
 
+#: Candidates that the gate looks at in one job, whether or not the first of them passes.
+GATE_BATCH = 4
+
+
 class Gate:
     """Decides whether a candidate is causally linked to the target; what it finds holds for all dimensions."""
 
@@ -77,15 +83,25 @@ class Gate:
         self.found: dict[str, float] = {}
 
     def dimension(self, name: str, rho: float) -> tuple[int, float]:
+        # a given dimension is judged by the sweep's own skill, which changes with the dimension
+        return (self.cfg.e, round(rho, 4)) if self.cfg.e > 0 else self.dims[name]
+
+    def measure(self, ranked: list[tuple[str, float]]) -> None:
+        """Embedding dimensions of candidates in one job, and slopes of those that have the skill in another."""
         cfg = self.cfg
-        if cfg.e > 0:
-            return cfg.e, round(rho, 4)  # judged by the sweep's own skill, which changes with the dimension
-        if name not in self.dims:
+        fresh = [v for v, _ in ranked if v not in self.dims] if cfg.e <= 0 else []
+        every = None
+        for name in fresh:
             curve = embedding.embed_dimension(self.panel, name, cfg.target, cfg.lib, cfg.pred, cfg.max_e, cfg.tp, cfg.tau, cfg.exclusion_radius, cfg.lib_tail)
-            row = (embedding.first_peak if cfg.first_peak else embedding.best_e)(curve).first()
-            known = row is not None and row["rho"] is not None
-            self.dims[name] = (row["e"], round(row["rho"], 4)) if known else (1, float("-inf"))
-        return self.dims[name]
+            one = (embedding.first_peak if cfg.first_peak else embedding.best_e)(curve).select(F.lit(name).alias("variable"), "e", "rho")
+            every = one if every is None else every.unionByName(one)
+        if every is not None:
+            rows = {r["variable"]: r for r in every.collect()}
+            for name in fresh:
+                row = rows.get(name)
+                self.dims[name] = (row["e"], round(row["rho"], 4)) if row is not None and row["rho"] is not None else (1, float("-inf"))
+        skilled = {v: self.dimension(v, rho)[0] for v, rho in ranked if v not in self.found and self.dimension(v, rho)[1] >= cfg.embed_rho_min}
+        self.found |= causality.slopes_of(self.panel, cfg.target, skilled, self.sizes, self.n, sample=cfg.sample, seed=cfg.seed, tau=cfg.tau, tp=cfg.tp, radius=cfg.exclusion_radius)
 
     def passes(self, name: str, rho: float) -> bool:
         cfg = self.cfg
@@ -95,16 +111,23 @@ class Gate:
         e, rho_e = self.dimension(name, rho)
         if rho_e < cfg.embed_rho_min:
             return False
-        self.result.edims[name] = (name, cfg.target, e, rho_e, False)
-        if name not in self.found:
-            self.found[name] = causality.slope_of(
-                self.panel, name, cfg.target, self.sizes, self.n, sample=cfg.sample, seed=cfg.seed, e=e, tau=cfg.tau, tp=cfg.tp, radius=cfg.exclusion_radius
-            )
         ok = self.found[name] > cfg.slope_min
-        if ok:
-            self.result.edims[name] = (*self.result.edims[name][:4], True)
+        self.result.edims[name] = (name, cfg.target, e, rho_e, ok)
         return ok
 
+    def first(self, ranked: list[tuple[str, float]]) -> tuple[str, float] | None:
+        """The first of ranked candidates that passes."""
+        if not self.cfg.gate:
+            return ranked[0]
+        for a in range(0, len(ranked), GATE_BATCH):
+            some = ranked[a : a + GATE_BATCH]
+            if self.slopes is None:
+                self.measure(some)
+            for v, rho in some:
+                if self.passes(v, rho):
+                    return v, rho
+        return None
+
 
 def expand(df: DataFrame, target: str | None = None, *, config: ExpandConfig | None = None, slopes: DataFrame | None = None, plan: str | None = None) -> ExpandResult:
     """Select up to max_dim observables of a panel (row_id and numeric columns) for a target.
@@ -130,13 +153,19 @@ def expand(df: DataFrame, target: str | None = None, *, config: ExpandConfig | N
         causality.check_slopes(table, candidates(names, cfg.exclude), cfg.target)
         lookup = {r["candidate"]: r["slope"] for r in table.where(F.col("target") == cfg.target).collect()}
     gate = Gate(panel, cfg, n, lookup, result)
+    every = candidates(names, cfg.exclude)
+    carried = None
+    if every and (plan or strategy(len(every), cfg.lib, cfg.pred, RELATIONAL_PAIRS)) == "relational":
+        carried = Carried(panel, every, cfg.target, cfg.lib, cfg.pred, cfg.tp, cfg.exclusion_radius, cfg.lib_tail)
+    band = 0
     try:
         for dim in range(1, cfg.max_dim + 1):
             chosen = result.variables
             left = candidates(names, cfg.exclude, chosen)
             best = []
             if left:
-                swept = sweep(panel, chosen, left, cfg.target, cfg.lib, cfg.pred, cfg.tp, cfg.exclusion_radius, cfg.lib_tail, plan).collect()
+                found = carried.sweep(chosen, left) if carried else sweep(panel, chosen, left, cfg.target, cfg.lib, cfg.pred, cfg.tp, cfg.exclusion_radius, cfg.lib_tail, plan)
+                swept = found.collect()
                 best = sorted(((r["rho"], r["ord"], r["variable"]) for r in swept if r["rho"] is not None and r["rho"] > cfg.rho_min), key=lambda r: (-r[0], r[1]))
             if not best:
                 log.info("dimension %d: no candidate above %s", dim, cfg.rho_min)
@@ -144,7 +173,7 @@ def expand(df: DataFrame, target: str | None = None, *, config: ExpandConfig | N
             result.ranked += [(dim, i, v, rho) for i, (rho, _, v) in enumerate(best, 1)]
             if lookup is not None:
                 result.passed += [(dim, i, v, rho, lookup[v]) for i, (rho, _, v) in enumerate(best, 1) if lookup[v] is not None and lookup[v] > cfg.slope_min]
-            winner = next(((v, rho) for rho, _, v in best if not cfg.gate or gate.passes(v, rho)), None)
+            winner = gate.first([(v, rho) for rho, _, v in best])
             if winner is None:
                 log.info("dimension %d: no candidate passes the gate", dim)
                 break
@@ -152,10 +181,15 @@ def expand(df: DataFrame, target: str | None = None, *, config: ExpandConfig | N
                 break
             result.rows.append((dim, *winner))
             log.info("dimension %d: %s %.6f", dim, *winner)
+            if cfg.log_percent and int(100 * dim / cfg.max_dim / cfg.log_percent) > band:
+                band = int(100 * dim / cfg.max_dim / cfg.log_percent)
+                log.info("%d %% of at most %d dimensions", 100 * dim // cfg.max_dim, cfg.max_dim)
         if cfg.time_delay and result.rows:
             result.delays = time_delays(panel, cfg, result)
     finally:
         panel.unpersist()
+        if carried:
+            carried.release()
     return result
 
 

@@ -234,6 +234,7 @@ _SIM2 = _SMOOTH + _near(["n_orders", "n_cust"], 3) + _aligned()
 _METRIC = "count(*) FILTER (obs IS NOT NULL AND pred IS NOT NULL) AS n, corr(obs, pred) AS rho, avg(abs(obs - pred)) AS mae, sqrt(avg((obs - pred) * (obs - pred))) AS rmse, sum(abs(obs - pred)) AS cae"
 _LAGGED3 = ", ".join(["n_orders AS x0", "lag(n_orders, 1) OVER (ORDER BY row_id) AS x1", "lag(n_orders, 2) OVER (ORDER BY row_id) AS x2"])
 _HALF = "CASE WHEN row_id <= 172 THEN 'a' ELSE 'b' END AS half"
+_REPORT = f"SELECT 'simplex' AS method, round(cae, 2) AS cae, round(rmse, 3) AS rmse, round(rho, 3) AS rho, round(round(rho, 3) * round(rho, 3), 3) AS r2 FROM (SELECT {_METRIC} FROM aligned)"
 _ALL_ROWS = {"lib": "true", "pred": "true"}
 
 SQL = {
@@ -301,9 +302,7 @@ ranks AS (
         _two(OTHERS, _gates(4, (10, 30, 60, 90), 5), "rho > 0.0 AND variable IN (SELECT variable FROM gate WHERE rho >= 0.0 AND slope > 0.0)"), _CHOSEN
     ),
     "embed_dimension_blocks": _q(_SMOOTH + _edim(4), "SELECT e, round(rho, 6) AS rho FROM curve"),
-    "evaluate_simplex": _q(
-        _SIM2, f"SELECT 'simplex' AS method, round(cae, 2) AS cae, round(rmse, 3) AS rmse, round(rho, 3) AS rho, round(round(rho, 3) * round(rho, 3), 3) AS r2 FROM (SELECT {_METRIC} FROM aligned)"
-    ),
+    "evaluate_simplex": _q(_SIM2, _REPORT),
     "evaluate_pca": _q(
         _SMOOTH + """,
 moments AS (
@@ -315,6 +314,33 @@ line AS (SELECT regr_slope(obs, c) AS b, regr_intercept(obs, c) AS a FROM scores
 aligned AS (SELECT row_id, obs, a + b * c AS pred FROM scores, line, n WHERE row_id > half)""",
         f"SELECT 'pca' AS method, round(cae, 2) AS cae, round(rmse, 3) AS rmse, round(rho, 3) AS rho, round(round(rho, 3) * round(rho, 3), 3) AS r2 FROM (SELECT {_METRIC} FROM aligned)",
     ),
+    "evaluate_all_rows": _q(
+        _SMOOTH + _near(["n_orders", "n_cust"], 3, **_ALL_ROWS) + ",\naligned AS (SELECT o.revenue AS obs, pred FROM forecast f JOIN smooth o ON o.row_id = f.p + 1)", _REPORT
+    ),
+    "evaluate_embedded": _q(
+        _SMOOTH + f",\nlagged AS (SELECT row_id, revenue, {_LAGGED3} FROM smooth)" + _near(["x0", "x1", "x2"], 4, panel="lagged") + _aligned(), _REPORT
+    ),
+    "pca_explained": _q(
+        _SMOOTH + """,
+moments AS (SELECT var_samp(n_orders) AS sxx, var_samp(n_lines) AS syy, covar_samp(n_orders, n_lines) AS sxy FROM smooth, n WHERE row_id <= half),
+halves AS (SELECT (sxx + syy) / 2 AS m, sqrt((sxx - syy) * (sxx - syy) / 4 + sxy * sxy) AS r FROM moments)""",
+        "SELECT component, round(0.5 + CASE component WHEN 0 THEN r ELSE -r END / (2 * m), 6) AS ratio FROM halves, (SELECT unnest([0, 1]) AS component)",
+    ),
+    "diffusion_neighbors": _q(
+        _SMOOTH + f""",
+pairs AS (SELECT p.row_id AS p, l.row_id AS l, {_square(['n_orders', 'n_lines'])} AS d2 FROM smooth p JOIN smooth l ON p.row_id <> l.row_id WHERE {_HALVES[0]} AND {_HALVES[1]})""",
+        "SELECT p, l, round(d2, 6) AS d2 FROM pairs QUALIFY row_number() OVER (PARTITION BY p ORDER BY d2, l) <= 5",
+    ),
+    "csv_scan": _q(_WEEKLY, "SELECT row_id, n_orders, n_cust, n_lines, revenue, ext FROM weekly"),
+    "feather_scan": _q(_WEEKLY, "SELECT row_id, revenue, n_cust, n_lines, qty, ext FROM weekly"),
+    "npy_scan": _q(_WEEKLY, "SELECT row_id, n_orders, revenue, n_cust AS c0, n_lines AS c1, qty AS c2, ext AS c3 FROM weekly"),
+    "npz_member": _q(_WEEKLY, "SELECT row_id, revenue AS c1, qty AS c4 FROM weekly"),
+    "slope_csv": _q(_MATRIX, "SELECT source, predicted, slope FROM matrix"),
+    "slope_feather": _q(_MATRIX, "SELECT source, predicted, slope FROM matrix"),
+    "result_csv": _q(_TWO, _CHOSEN),
+    "result_tables": _q(_TWO, f"SELECT * FROM ({_RANKED}) WHERE rank <= 2"),
+    "graph_tables": "WITH " + _graph() + "\nSELECT w.target, b.driver, 1 AS rank, round(b.rho, 6) AS rho FROM walk w JOIN best b USING (target)",
+    "target_csvs": "WITH " + _graph() + "\nSELECT w.target, b.driver, round(b.rho, 6) AS rho FROM walk w JOIN best b USING (target)",
     "library_draws": _q(_SMOOTH + "," + _draws("smooth", (20, 80), 2, 7), "SELECT size, draw, l FROM drawn"),
     "ccm_curve": _q(_CCM, "SELECT size, round(rho, 6) AS rho FROM curve"),
     "ccm_curve_blocks": _q(_CCM, "SELECT size, round(rho, 6) AS rho FROM curve"),

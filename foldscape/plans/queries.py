@@ -10,8 +10,8 @@ from foldscape.functions.stats import metrics, minmax, ols, ranges, reported, to
 from foldscape.operators import causality, crossmap, embedding, evaluate, neighbors, panel, reverse, simplex
 from foldscape.operators.expand import expand
 from foldscape.plans.fixtures import OTHERS, TARGET, WEEKLY, panel_embedding, panel_hourly, panel_smooth, panel_weekly
-from foldscape.sources.readers import as_panel, matrix_to_slopes, slopes_to_matrix
-from foldscape.sources.sinks import truncated
+from foldscape.sources.readers import as_panel, matrix_to_slopes, read_panel, read_root, read_slopes, slopes_to_matrix
+from foldscape.sources.sinks import put, read_graph, read_result, truncated, write_csv, write_graph, write_result, write_target_csvs
 
 Query = DataFrame
 
@@ -379,6 +379,134 @@ def evaluate_pca(spark, sf_dir):
     return evaluate.compare(df, TARGET, ["n_orders"], methods=("pca",), features=["n_orders", "n_lines"], lib=lib, pred=pred, components=1)
 
 
+def evaluate_all_rows(spark, sf_dir):
+    """Without ranges, all rows are library and predicted."""
+    df, _, _ = _smooth(spark, sf_dir)
+    return evaluate.compare(df, TARGET, ["n_orders", "n_cust"], methods=("simplex",), tp=1)
+
+
+def evaluate_embedded(spark, sf_dir):
+    df, lib, pred = _smooth(spark, sf_dir)
+    return evaluate.compare(df, TARGET, ["n_orders"], methods=("simplex",), lib=lib, pred=pred, tp=1, e=3)
+
+
+def pca_explained(spark, sf_dir):
+    df, lib, pred = _smooth(spark, sf_dir)
+    part = lambda spans: df.where(ranges(F.col("row_id"), spans))
+    ratios = evaluate.pca_scores(part(lib), part(pred), ["n_orders", "n_lines"], 2)[2]
+    return spark.createDataFrame([(i, round(r, 6)) for i, r in enumerate(ratios)], "component int, ratio double")
+
+
+def diffusion_neighbors(spark, sf_dir):
+    df, lib, pred = _smooth(spark, sf_dir)
+    part = lambda spans: df.where(ranges(F.col("row_id"), spans))
+    return _rounded(evaluate.neighbor_table(part(lib), part(pred), ["n_orders", "n_lines"], 5), "d2")
+
+
+def _folder(spark) -> str:
+    """A new folder where files of the queries below go: shared, if the cluster names a shared one."""
+    import tempfile
+    import uuid
+
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or f'file://{tempfile.gettempdir()}'}/foldscape-files-{uuid.uuid4().hex}"
+
+
+def _rows_of(spark, sf_dir):
+    """panel_weekly's numbers in order: a few hundred rows, as they are written to files by hand."""
+    return panel_weekly(spark, sf_dir).orderBy("row_id").select(*WEEKLY).toPandas()
+
+
+def csv_scan(spark, sf_dir):
+    path = put(spark, f"{_folder(spark)}/panel.csv", _rows_of(spark, sf_dir).to_csv(index=False).encode())
+    return read_panel(spark, path, match=["n_", "rev"], target="ext")
+
+
+def _feather(frame, index: bool = False) -> bytes:
+    import io
+
+    import pyarrow as pa
+    import pyarrow.feather
+
+    out = io.BytesIO()
+    pyarrow.feather.write_feather(pa.Table.from_pandas(frame, preserve_index=index), out)
+    return out.getvalue()
+
+
+def feather_scan(spark, sf_dir):
+    return read_panel(spark, put(spark, f"{_folder(spark)}/panel.feather", _feather(_rows_of(spark, sf_dir))), remove_first=True)
+
+
+def _numpy(save, *args, **kwargs) -> bytes:
+    import io
+
+    out = io.BytesIO()
+    save(out, *args, **kwargs)
+    return out.getvalue()
+
+
+def npy_scan(spark, sf_dir):
+    import numpy as np
+
+    data = _numpy(np.save, _rows_of(spark, sf_dir).to_numpy())
+    return read_panel(spark, put(spark, f"{_folder(spark)}/panel.npy", data), leading=["n_orders", "revenue"])
+
+
+def npz_member(spark, sf_dir):
+    import numpy as np
+
+    rows = _rows_of(spark, sf_dir).to_numpy()
+    data = _numpy(np.savez, other=rows[:3], panel=rows)
+    return read_panel(spark, put(spark, f"{_folder(spark)}/panels.npz", data), member="panel", match=["c1", "c4"])
+
+
+def _slope_frame():
+    import pandas as pd
+
+    wide = {b: [next(s for x, y, s in SLOPES if (x, y) == (a, b)) for a in WEEKLY] for b in WEEKLY}
+    return pd.DataFrame(wide, index=WEEKLY, dtype=float)
+
+
+def slope_csv(spark, sf_dir):
+    return read_slopes(spark, put(spark, f"{_folder(spark)}/slopes.csv", _slope_frame().to_csv(index=False).encode()))
+
+
+def slope_feather(spark, sf_dir):
+    found = read_slopes(spark, put(spark, f"{_folder(spark)}/slopes.feather", _feather(_slope_frame(), index=True)))
+    return found.select("source", "predicted", F.when(~F.isnan("slope"), F.col("slope")).alias("slope"))
+
+
+def result_csv(spark, sf_dir):
+    """A result as CSV, read again as the root of a driver graph."""
+    path = f"{_folder(spark)}/result.csv"
+    write_csv(_selected(spark, sf_dir, max_dim=2, gate=False, rho_min=-1.0).selected, path)
+    found = reverse.seeded(read_root(spark, path))
+    return _rounded(spark.createDataFrame([(i, v, r) for i, (v, r) in enumerate(found, 1)], "dim int, variable string, rho double"), "rho")
+
+
+def result_tables(spark, sf_dir):
+    """All tables of a run written and read again; rankings cut at two a dimension."""
+    path = f"{_folder(spark)}/result"
+    write_result(_selected(spark, sf_dir, max_dim=2, gate=False, rho_min=-1.0, keep_ranked=2), path)
+    return _rounded(read_result(spark, path)[1]["rankings"], "rho")
+
+
+def graph_tables(spark, sf_dir):
+    path = f"{_folder(spark)}/graph"
+    write_graph(_graph(spark, sf_dir), path)
+    return _rounded(read_graph(spark, path)[1], "rho").select("target", "driver", "rank", "rho")
+
+
+def target_csvs(spark, sf_dir):
+    """One CSV a target of a driver graph, read again."""
+    paths = write_target_csvs(_graph(spark, sf_dir), f"{_folder(spark)}/drivers")
+    out = None
+    for path in paths:
+        name = path.rsplit("drivers_", 1)[1][:-4]
+        one = read_root(spark, path).select(F.lit(name).alias("target"), F.col("variables").alias("driver"), F.round(F.col("rho").cast("double"), 6).alias("rho"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _all() -> dict:
     own = [
         panel_long, numeric_cast, in_memory_panel, column_match, column_choice, dropped_columns, candidate_set, lag_embed, lead_target, with_delays, lib_pred_split,
@@ -388,6 +516,8 @@ def _all() -> dict:
         slope_matrix_wide, slope_matrix_long, passing_subset, expand_with_matrix, driver_graph, driver_nodes, seeded_graph, embedding_knn, embedding_crossmap,
         embedding_wide, hourly_sweep, minmax_scale, ols_single, linear_fit, best_per_half, pca_evaluate, diffusion_evaluate, evaluate_compare,
         evaluate_simplex, evaluate_pca, embedding_knn_blocks, embed_dimension_blocks,
+        evaluate_all_rows, evaluate_embedded, pca_explained, diffusion_neighbors, csv_scan, feather_scan, npy_scan, npz_member, slope_csv, slope_feather,
+        result_csv, result_tables, graph_tables, target_csvs,
     ]
     return {"panel_weekly": panel_weekly, "panel_smooth": panel_smooth, "panel_hourly_dense": panel_hourly} | {f.__name__: f for f in own}
 

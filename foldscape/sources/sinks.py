@@ -25,17 +25,31 @@ def out_dir(path: str) -> str:
     return path
 
 
+def put(spark, path: str, data: bytes) -> str:
+    """A file of a few bytes on any file system that Spark writes to; it replaces another whole."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    to, draft = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    own = to.getFileSystem(conf)
+    out = own.create(draft, True)
+    out.write(bytearray(data))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(own.getUri(), conf).rename(own.makeQualified(draft), own.makeQualified(to), how)
+    return path
+
+
 def write_csv(selected: DataFrame, path: str) -> None:
     """variables and rho in the order of selection, as one file: a result has a row a dimension."""
-    rows = selected.orderBy("dim").collect()
-    draft = f"{path}.{uuid.uuid4().hex}.tmp"
-    with open(draft, "w", encoding="utf-8", newline="") as f:
-        import csv
-
-        out = csv.writer(f)
-        out.writerow(["variables", "rho"])
-        out.writerows((r["variable"], r["rho"]) for r in rows)
-    os.replace(draft, path)
+    import csv
+    import io
+
+    text = io.StringIO(newline="")
+    out = csv.writer(text)
+    out.writerow(["variables", "rho"])
+    out.writerows((r["variable"], r["rho"]) for r in selected.orderBy("dim").collect())
+    put(selected.sparkSession, path, text.getvalue().encode())
 
 
 def truncated(ranked: DataFrame, n: int | None) -> DataFrame:
