@@ -243,6 +243,78 @@ def test_diffusion_extension_agrees_on_its_own_rows(maps):
         assert abs(np.corrcoef(found.vectors[:, i], again[:, i])[0, 1]) > 0.9
 
 
+def test_diffusion_map_matches_numpy(maps):
+    """Kernel on the nearest neighbours, normalised by density, and its leading eigenvectors, by brute force."""
+    k, width, alpha = 9, 0.02, 0.5
+    own, others = maps.where("row_id <= 60"), maps.where("row_id > 60")
+    model = evaluate.DiffusionMap(k, 2, width, alpha).fit(own, ["x", "y"])
+    rows = maps.orderBy("row_id").toPandas()[["x", "y"]].to_numpy()
+    a, b = rows[:60], rows[60:]
+    d2 = ((a[:, None] - a[None]) ** 2).sum(2)
+    near = np.zeros((60, 60), bool)
+    for i in range(60):
+        order = sorted((j for j in range(60) if j != i), key=lambda j: (d2[i, j], j))[:k]
+        near[i, order] = near[i, i] = True
+    kernel = np.where(near | near.T, np.exp(-d2 / (4 * width)), 0.0)
+    q = kernel.sum(1) ** -alpha
+    kernel = kernel * q[:, None] * q[None]
+    values, vectors = np.linalg.eig(kernel / kernel.sum(1)[:, None])  # the walk itself; the operator takes its symmetric form
+    order = np.argsort(-values.real)[1:3]
+    assert np.allclose(model.values, values.real[order], atol=1e-9)
+    for i, o in enumerate(order):
+        assert abs(np.corrcoef(model.vectors[:, i], vectors[:, o].real)[0, 1]) == pytest.approx(1, abs=1e-6)
+    found = model.coordinates(others).orderBy("row_id").toPandas()[["c0", "c1"]].to_numpy()
+    for i in range(len(b)):
+        far = ((b[i] - a) ** 2).sum(1)
+        some = sorted(range(60), key=lambda j: (far[j], j))[:k]
+        w = np.exp(-far[some] / (4 * width)) * q[some]
+        assert np.allclose(found[i], (w[:, None] * model.vectors[some] / model.values).sum(0) / w.sum())
+
+
+def test_forecasts_of_both_strategies_agree(spark, maps):
+    spans = (((1, 60),), ((50, 120),))
+    near = [sorted(map(tuple, neighbors.knn(maps, ["x", "noise"], "y", *spans, radius=2, plan=p).select("p", "l", "rank", "y").collect())) for p in ("relational", "vectorised")]
+    assert near[0] == near[1]
+    for how in ({"e": 0}, {"e": 3, "tau": -2}):
+        a, b = ({r["row_id"]: r["pred"] for r in simplex.simplex(maps, ["x"], "y", *spans, plan=p, **how).collect()} for p in ("relational", "vectorised"))
+        assert a == pytest.approx(b, abs=1e-9)
+    a, b = ({r["e"]: r["rho"] for r in embedding.embed_dimension(maps, "x", "y", *spans, max_e=5, tau=-2, radius=1, plan=p).collect()} for p in ("relational", "vectorised"))
+    assert a == pytest.approx(b, abs=1e-9)
+    own, others = maps.where("row_id <= 60"), maps.where("row_id > 55")
+    a, b = (sorted(map(tuple, evaluate.neighbor_table(own, others, ["x", "y"], 4, itself=True, plan=p).select("p", "l").collect())) for p in ("relational", "vectorised"))
+    assert a == b
+
+
+def test_large_forecasts_have_no_nested_loop(spark):
+    """200,000 rows against as many: no nested loop, and no broadcast that grows with the panel."""
+    wide = spark.range(1, 400_001).select(F.col("id").alias("row_id"), F.sin("id").alias("x"), F.cos("id").alias("y"))
+    spans = (((1, 200_000),), ((200_001, 400_000),))
+    for df in (neighbors.knn(wide, ["x"], "y", *spans), simplex.simplex(wide, ["x"], "y", *spans), embedding.embed_dimension(wide, "x", "y", *spans, max_e=3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_blocks_of_few_rows(maps, monkeypatch):
+    from foldscape.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(blocks, "CHUNK", 2)
+    how = (maps, ["y"], ["x", "noise", "y"], "y", ((1, 60),), ((55, 120),), 1, 2)
+    a, b = ({r["variable"]: r["rho"] for r in crossmap.sweep(*how, plan=p).collect()} for p in ("relational", "vectorised"))
+    assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_carried_distances_agree_with_fresh_ones(maps):
+    spans = (((1, 60),), ((55, 120),))
+    held = crossmap.Carried(maps, ["x", "noise", "y"], "y", *spans, 1, 2)
+    for base in ([], ["y"], ["y", "x"]):
+        left = [c for c in ("x", "noise", "y") if c not in base]
+        a = {r["variable"]: (r["ord"], r["rho"]) for r in held.sweep(base, left).collect()}
+        b = {r["variable"]: (r["ord"], r["rho"]) for r in crossmap.sweep(maps, base, left, "y", *spans, 1, 2).collect()}
+        assert a == b
+    held.release()
+
+
 def test_compare_reports_three_methods(maps):
     rows = evaluate.compare(maps, "y", ["x"], lib=(1, 60), pred=(61, 120), tp=1, components=2, k=8).collect()
     assert [r["method"] for r in rows] == ["simplex", "pca", "diffusion"]
