@@ -85,6 +85,7 @@ def driver_graph(
         keep = matching(variables(df, cfg.time_col), cfg.match, cfg.target)
         df = df.select(*[c for c in (ROW, cfg.time_col) if c in df.columns], *keep)
     names = variables(df, cfg.time_col)
+    panel = None
     if run is None:
         panel = df.persist()
         cfg = cfg.split(panel.count())
@@ -117,6 +118,8 @@ def driver_graph(
             checkpoint(graph)
             since = time.monotonic()
         level, depth = following, depth + 1
+    if panel is not None:
+        panel.unpersist()
     if not quiet:
         log.info("%d runs", len(graph.visited))
     if checkpoint:
