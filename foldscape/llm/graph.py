@@ -12,9 +12,10 @@ def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) for each node of `links` (a, b).
 
     A round takes the least label among neighbours and then the label of that
-    label, so paths halve. Rounds go on until no label changes. Sums by node are
-    partial before they are dealt out, and the joins are inner or left equi-joins,
-    whose hot partitions Spark splits.
+    label. Rounds go on until no label changes: along a path whose ids are in order
+    labels move twice as far each round; no shape takes more rounds than its longest
+    shortest path has links. Sums by node are partial before they are dealt out, and
+    the joins are inner or left equi-joins, whose hot partitions Spark splits.
     """
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = written(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")))

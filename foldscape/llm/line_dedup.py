@@ -47,6 +47,8 @@ SHARD_POSTINGS = 250_000
 LEAST_SHARDS = 256
 #: The query deals its table into so many arrivals, then takes back one document in WITHDRAWN, by a hash of the id, and inserts it again.
 ARRIVALS, WITHDRAWN = 3, 64
+#: Keys of deleted documents up to which they are broadcast (16 bytes each).
+BROADCAST_KEYS = 1_000_000
 #: Distinct keys that a task sums up before it passes them on.
 COMBINED_KEYS = 1_000_000
 _BLANKS = b"\x20\t\n\x0b\x0c\r"
@@ -324,9 +326,11 @@ class LineIndex:
     def delete(self, ids: DataFrame) -> LineIndex:
         """Take back documents: `ids` has their doc_id."""
         ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        gone = self.postings.join(ids, "doc_id", "left_semi").groupBy("key").agg(F.count("*").alias("refs"))
+        gone = written(self.postings.join(ids, "doc_id", "left_semi").groupBy("key").agg(F.count("*").alias("refs")))
         left = written(self.postings.join(ids, "doc_id", "left_anti"))
-        still = left.join(gone.select("key"), "key", "left_semi").groupBy("key").agg(F.max("doc_id").alias("last"))
+        # either way a key that many documents hold is dealt out once a task: its largest id there
+        touched = left.join(F.broadcast(gone.select("key")), "key", "left_semi") if gone.count() <= BROADCAST_KEYS else left
+        still = touched.groupBy("key").agg(F.max("doc_id").alias("last"))
         lost = gone.join(still, "key", "left").select("key", "refs", F.coalesce("last", F.lit(-(1 << 63)).cast("long")).alias("last"))
         n = self.n_shards
 

@@ -131,7 +131,7 @@ def test_quality_base_counts_and_verdict(spark, docs, rows):
     target = {i for k, (i, _) in enumerate(rows) if k % 3 == 0}
     raw, good = Counter(), Counter()
     bits = quality.bits_for(sum(len((t or "").encode()) for _, t in rows))
-    assert bits == quality.LEAST_BITS and quality.bits_for(10**9) == 18 and quality.bits_for(10**15) == quality.MOST_BITS
+    assert bits == quality.LEAST_BITS and quality.bits_for(10**9) == 17 and quality.bits_for(10**15) == quality.MOST_BITS
 
     def grams(text):
         data = np.frombuffer((text or "").encode(), np.uint8)
@@ -244,6 +244,9 @@ def test_line_index_in_arrivals_with_growing_shards(spark, rows, monkeypatch):
     some = docs.where("doc_id % 7 < 3")
     index.delete(some.select("doc_id")).insert(some, 2)
     checked_lines(index.resolve(docs), rows)
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    index.delete(some.select("doc_id")).insert(some)
+    checked_lines(index.resolve(docs), rows)
     assert index.shards.inputFiles() and all(line_dedup.Shard(r.asDict()).filter.holds(line_dedup._hash(line_dedup.Shard(r.asDict()).keys)).all() for r in index.shards.collect())
 
 
