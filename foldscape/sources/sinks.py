@@ -26,7 +26,8 @@ def out_dir(path: str) -> str:
 
 
 def put(spark, path: str, data: bytes) -> str:
-    """A file of a few bytes on any file system that Spark writes to; it replaces another whole."""
+    """A file of a few bytes on any file system that Spark writes to; it replaces another whole. Paths without a scheme are relative to this process."""
+    path = path if "://" in path else os.path.abspath(path)
     fs = spark._jvm.org.apache.hadoop.fs
     conf = spark._jsc.hadoopConfiguration()
     to, draft = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
