@@ -194,6 +194,48 @@ def test_quality_without_labels_and_stage_keeps_columns(spark, docs, rows, empty
     assert quality.quality(empty, none).count() == 0 and quality.keep_good(empty, none).count() == 0
 
 
+def test_quality_counts_every_labelled_row(spark, monkeypatch):
+    """More than 20,000 labelled rows, some with copies with or without a label: all of them are in the target."""
+    n = 20_100
+    text = {i: f"w{i} x{i % 7}" for i in range(n)} | {n + i: f"w{i} x{i % 7}" for i in range(90)} | {2 * n + i: f"v{i} x{i % 7}" for i in range(500)}
+    named = [i for i in text if i < n + 40]
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in named], "doc_id long, quality int, toxic int")
+    found = got(quality.quality(docs, labels))
+    bits = quality.bits_for(sum(map(len, text.values())))
+    data = {i: quality.buckets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), bits)[0] for i, t in text.items()}
+    b = 1 << bits
+    raw = np.bincount(np.concatenate(list(data.values())), minlength=b)
+    good = np.bincount(np.concatenate([data[i] for i in named]), minlength=b)
+    p = (raw + 1) / (raw.sum() + b)
+    ratio = np.log((good + p * b) / (good.sum() + b) / p)
+    once = {t: data[i] for i, t in text.items()}
+    trusted = {text[i] for i in named}
+    raw_once = np.bincount(np.concatenate(list(once.values())), minlength=b)
+    good_once = np.bincount(np.concatenate([once[t] for t in trusted]), minlength=b)
+    for i, own in data.items():
+        less = text[i] in trusted
+        count = np.bincount(own, minlength=1)[own]
+        p = (raw_once[own] - count + 1) / (raw_once.sum() - len(own) + b)
+        logs = np.log((good_once[own] - count * less + 2.5) / (p * (good_once.sum() - len(own) * less) + 2.5))
+        assert found[i]["score"] == pytest.approx(ratio[own].mean(), abs=1e-6) and found[i]["held_score"] == pytest.approx(logs.mean(), abs=1e-6)
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", -1)
+    assert got(quality.quality(docs, labels)) == found
+
+
+@pytest.mark.parametrize("groups", [10**6, -1])
+def test_quality_stage_takes_labelled_rows_out_of_the_target(spark, monkeypatch, groups):
+    """At a threshold in the midst of the labelled rows' scores the stage keeps the rows that the operator does."""
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", groups)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.quality(docs, labels).where("not base_failed").collect()
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    middle = sorted(r["held_score"] for r in found if r["doc_id"] in good)[len(good) // 2]
+    want = sorted(r["doc_id"] for r in found if r["held_score"] >= middle)
+    assert 0 < len(good & set(want)) < len(good)
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs, labels, middle).collect()) == want
+
+
 # --- 3
 
 
