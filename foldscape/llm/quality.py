@@ -12,8 +12,8 @@ out of both before it is scored. A document is kept if it passes the base rules
 and its held_score is at least THRESHOLD, a fixed number: the same document gets
 the same verdict in every run over the same corpus.
 
-Three scans: the first counts equal texts by a 64-bit hash, the second sends one
-row a bucket from each task to the sum, the third only scores. What the driver
+Three scans: the first counts equal texts by a 64-bit hash, the second sends the
+buckets of each task to the sum, SPAN of them in a compressed row, the third only scores. What the driver
 holds are the models. The number of buckets grows with the corpus, to a bound that
 keeps the models small enough to send. Texts that the target holds or that occur
 more than once meet the second scan as a broadcast of their hashes, up to
@@ -57,6 +57,8 @@ HELD_PRIOR = 2.5
 PARTS = 1 << 28
 #: The most texts, of those with copies or in the target, whose hashes are broadcast.
 BROADCAST_GROUPS = 1_000_000
+#: Neighbouring buckets whose sums travel in one row.
+SPAN = 1 << 12
 _HASH = "_text_hash"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -119,12 +121,38 @@ def _counts(bits: int):
             sums[1] += np.bincount(b, weights=np.rint(PARTS * good / copies)[text], minlength=n).astype(np.int64)
             sums[2] += np.bincount(b, weights=parts[text], minlength=n).astype(np.int64)
             sums[3] += np.bincount(b, weights=(parts * (good > 0))[text], minlength=n).astype(np.int64)
-        hit = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), *(pa.array(x[hit]) for x in sums)], ["bucket", *_COUNTED])
+        spans = sums.reshape(len(_COUNTED), -1, SPAN).swapaxes(0, 1)
+        hit = np.flatnonzero(spans[:, 0].any(axis=1))
+        yield batch(_SPANS, hit, [_pack(spans[i]) for i in hit])
 
     return run
 
 
+_SPANS = pa.schema([("span", pa.int32()), ("sums", pa.binary())])
+
+
+def _pack(sums: np.ndarray) -> bytes:
+    """The sums of a span, compressed: parts less those of rows without copies, which leaves few numbers but 0; bytes of one place together."""
+    rows, target, parts, target_parts = sums
+    left = np.stack([rows, target, rows * PARTS - parts, target - target_parts])
+    return pa.compress(np.ascontiguousarray(left.reshape(-1).view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = pa.decompress(data, len(_COUNTED) * SPAN * 8, codec="zstd", asbytes=True)
+    rows, target, copied, target_copied = np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(len(_COUNTED), SPAN)
+    return np.stack([rows, target, rows * PARTS - copied, target - target_copied])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for t in batches:
+        for span, data in zip(t["span"].to_pylist(), t["sums"].to_pylist(), strict=True):
+            sums = _unpack(data)
+            held[span] = held[span] + sums if span in held else sums
+    yield batch(_SPANS, list(held), [_pack(x) for x in held.values()])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """The models of a corpus, and the hashes of the target's texts with the number of their labelled rows (`good`). `docs` as from texts_of."""
     chosen = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -136,13 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
         .groupBy(_HASH).agg(F.count(F.lit(1)).alias("copies"), F.count("named").alias("good")).where("copies > 1 or good > 0")
     )
     shared = flagged(docs.select("text", _HASH), _HASH, seen).select("text", *[F.coalesce(c, F.lit(x)).alias(c) for c, x in (("copies", 1), ("good", 0))])
-    counted = (
-        shared.mapInArrow(_counts(bits), "bucket int, " + ", ".join(f"{c} long" for c in _COUNTED))
-        .groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _COUNTED]).toPandas()
-    )
-    raw, target, raw_once, target_once = (np.zeros(n) for _ in _COUNTED)
-    for to, c, unit in zip((raw, target, raw_once, target_once), _COUNTED, (1, PARTS, PARTS, PARTS), strict=True):
-        to[counted["bucket"]] = counted[c] / unit
+    ddl = "span int, sums binary"
+    counted = np.zeros((len(_COUNTED), n), np.int64)
+    for span, sums in shared.mapInArrow(_counts(bits), ddl).repartition("span").mapInArrow(_summed, ddl).collect():
+        counted[:, span * SPAN : (span + 1) * SPAN] = _unpack(sums)
+    raw, target, raw_once, target_once = counted / np.array([[1], [PARTS], [PARTS], [PARTS]])
     trusted = seen.where("good > 0").select(_HASH, "good")
     if not target.sum():
         return Model(np.zeros(n), raw_once, target_once), trusted

@@ -223,6 +223,19 @@ def test_quality_counts_every_labelled_row(spark, monkeypatch):
     assert got(quality.quality(docs, labels)) == found
 
 
+def test_quality_sums_travel_in_few_bytes():
+    """Sums of a span come back as they were, negative differences and the largest numbers too; a task's are a few bytes a bucket."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 2**34, quality.SPAN)
+    parts = rows * quality.PARTS - rng.integers(-9, 2**40, quality.SPAN)
+    whole = np.stack([rows, rows * quality.PARTS, parts, parts])
+    assert (quality._unpack(quality._pack(whole)) == whole).all()
+    few = rng.poisson(8, quality.SPAN)
+    good = rng.binomial(few, 0.3)
+    task = np.stack([few, good * quality.PARTS, few * quality.PARTS, good * quality.PARTS])
+    assert (quality._unpack(quality._pack(task)) == task).all() and len(quality._pack(task)) < 2 * quality.SPAN
+
+
 @pytest.mark.parametrize("groups", [10**6, -1])
 def test_quality_stage_takes_labelled_rows_out_of_the_target(spark, monkeypatch, groups):
     """At a threshold in the midst of the labelled rows' scores the stage keeps the rows that the operator does."""
